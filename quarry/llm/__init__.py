@@ -1,0 +1,8 @@
+"""Training-data operators. Self-contained: nothing outside this folder imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: its functions travel with the tasks.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
