@@ -26,6 +26,8 @@ import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import materialise
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -145,5 +147,6 @@ def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, ...) that are not contaminated."""
     bad = contamination(docs, benchmark, **params).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    bad = materialise(bad, "contaminated")  # of known size from here on: a small table saves the shuffle of the texts
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__hash"))
     return docs.join(bad, same, "left_anti")

@@ -21,6 +21,7 @@ import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN, MAX_WORD, MAX_PIECE, MARK = 1e-9, 28, 10, "▁"
 WORD = re.compile(r"[^\W\d_]+")
@@ -206,8 +207,10 @@ def train(docs: DataFrame, vocab: str, learn_from: Column, max_docs: int = 1000,
     return langs, pieces, learn([counts[x] for x in langs], pieces, **params)
 
 
-def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, cache: int = 300_000) -> DataFrame:
-    """doc_id, lang_pred, score (the language's posterior under equal priors) for every row."""
+def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: str = "text", cache: int = 300_000) -> DataFrame:
+    """``docs`` with lang_pred and score (the language's posterior under equal priors) for every row."""
+    names = docs.columns
+    at_text = names.index(text_col)
 
     def run(batches):
         import numpy as np
@@ -228,10 +231,10 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, cache: int
             return langs[k], float(1 / np.exp(z - z[k]).sum())
 
         for batch in batches:
-            got = [best(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
+            got = [best(t.as_py()) for t in batch.column(at_text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=[*names, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def held_out(folds: int, rest: int) -> Column:
@@ -239,5 +242,14 @@ def held_out(folds: int, rest: int) -> Column:
 
 
 def identify(docs: DataFrame, vocab: str, folds: int = 4, rest: int = 2) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row, learned from the rows not held out."""
     model = train(docs, vocab, ~held_out(folds, rest))
-    return predict(docs, *model).select("doc_id", held_out(folds, rest).alias("held_out"), "lang_pred", "score")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return predict(rows, *model).select("doc_id", held_out(folds, rest).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, vocab: str) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, ...) in which a language is found."""
+    renamed = docs.select(*[F.col(c).alias(f"__{i}" if c in ("lang_pred", "score") else c) for i, c in enumerate(docs.columns)])
+    kept = predict(renamed, *train(docs, vocab, F.lit(True))).where(F.col("lang_pred") != UND)
+    return kept.select(*[F.col(r).alias(c) for r, c in zip(renamed.columns, docs.columns)])

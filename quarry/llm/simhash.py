@@ -180,3 +180,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     named = classes.where("rep is not null").join(roots.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     labels = named.unionByName(anonymous.withColumn("component_id", F.lit(None).cast("long")))
     return prints.join(labels, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) but those near-duplicate to a smaller id. Of rows
+    with one id, one stays; rows without an id stay all."""
+    labels = near_duplicates(docs, **params)
+    losers = materialise(labels.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
+    repeated = materialise(labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    kept = docs.join(losers, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
