@@ -160,34 +160,50 @@ class Scorer:
     def add(self, words: set[str]) -> None:
         import numpy as np
 
-        if len(self.known) + len(words) > self.cache:
-            self.known, self.logs = {}, self.logs[:0]
-        words = sorted(w for w in words if w not in self.known)
+        missing = words.difference(self.known)
+        if missing and len(self.known) + len(missing) > self.cache:
+            self.known, self.logs, missing = {}, self.logs[:0], words
+        words = sorted(missing)
         if not words:
             return
         pieces = [parts(w) for w in words]
-        log: dict[str, object] = {}
+        place: dict[str, int] = {}
+        logs = []
         for same in by_length({x for ps in pieces for x in ps}).values():
             for at in range(0, len(same), 8192):
                 some = same[at : at + 8192]
-                log.update(zip(some, np.log(np.maximum(forward(self.finder.lattice(some), self.p)[-1], 1e-300))))
-        for i, w in enumerate(words):
-            self.known[w] = len(self.logs) + i
-        self.logs = np.concatenate([self.logs, np.array([sum(log[x] for x in ps) for ps in pieces])])
-
-    def text(self, words: list[str]):
-        """Summed log-probabilities; None without words."""
+                place.update(zip(some, range(len(place), len(place) + len(some))))
+                logs.append(np.log(np.maximum(forward(self.finder.lattice(some), self.p)[-1], 1e-300)))
+        flat = np.concatenate(logs)[np.fromiter((place[x] for ps in pieces for x in ps), dtype=np.int64)]
+        sizes = np.array([len(ps) for ps in pieces])
+        self.known.update(zip(words, range(len(self.logs), len(self.logs) + len(words))))
+        self.logs = np.concatenate([self.logs, np.add.reduceat(flat, np.cumsum(sizes) - sizes)])
+
+    def texts(self, many: list[list[str]]):
+        """Summed log-probabilities of each text's words, all languages; the words that are not known are
+        computed together."""
         import numpy as np
 
-        if not words:
-            return None
-        total, at = 0.0, 0
-        while at < len(words):
-            some = words[at : at + 200_000]
-            if missing := {w for w in some if w not in self.known}:
-                self.add(missing if len(self.known) + len(missing) <= self.cache else set(some))
-            total = total + self.logs[np.fromiter(map(self.known.__getitem__, some), dtype=np.int64, count=len(some))].sum(axis=0)
-            at += len(some)
+        total = np.zeros((len(many), self.p.shape[1]))
+        at = 0
+        while at < len(many):
+            words, end, n = set(many[at]), at + 1, len(many[at])
+            while end < len(many) and n + len(many[end]) <= 400_000:
+                words.update(many[end])
+                n, end = n + len(many[end]), end + 1
+            if n <= 400_000:
+                self.add(words)
+                rows = np.fromiter((i for t in many[at:end] for i in map(self.known.__getitem__, t)), dtype=np.int64, count=n)
+                sizes = np.array([len(t) for t in many[at:end]])
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    total[at + some] = np.add.reduceat(self.logs[rows], (np.cumsum(sizes) - sizes)[some])
+            else:  # one very long text, in parts
+                for i in range(0, n, 400_000):
+                    part = many[at][i : i + 400_000]
+                    self.add(set(part))
+                    total[at] += self.logs[np.fromiter(map(self.known.__getitem__, part), dtype=np.int64, count=len(part))].sum(axis=0)
+            at = end
         return total
 
 
@@ -195,8 +211,11 @@ def train(docs: DataFrame, vocab: str, learn_from: Column, max_docs: int = 1000,
     """(languages, pieces, probabilities) from rows that ``learn_from`` holds for (over doc_id)."""
     spark, pieces = docs.sparkSession, vocabulary(vocab)
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learn_from)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_docs).select("doc_id").distinct().collect()
+    picked = rows.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(256)).alias("salt"))
+    for by in (("lang", "salt"), ("lang",)):  # a language with most of the rows is cut down in many tasks first
+        first = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        picked = picked.withColumn("k", first).where(F.col("k") <= max_docs)
+    picked = picked.select("doc_id").distinct().collect()
     if not picked:
         return [], pieces, None
     sample = spark.createDataFrame(sorted(tuple(x) for x in picked), "doc_id long")  # bounded: max_docs a language
@@ -207,7 +226,7 @@ def train(docs: DataFrame, vocab: str, learn_from: Column, max_docs: int = 1000,
     return langs, pieces, learn([counts[x] for x in langs], pieces, **params)
 
 
-def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: str = "text", cache: int = 300_000) -> DataFrame:
+def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: str = "text", cache: int = 200_000) -> DataFrame:
     """``docs`` with lang_pred and score (the language's posterior under equal priors) for every row."""
     names = docs.columns
     at_text = names.index(text_col)
@@ -218,20 +237,29 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: s
 
         scorer = Scorer(pieces, p, cache) if langs else None
 
-        def best(text):
+        def words_of(text):
             words = letters(text or "")
             if any(not w.isalpha() for w in words if not w.isascii()):  # the pattern's runs may hold number signs
                 words = [x for x in ("".join(c for c in w if c.isalpha()) for w in words) if x]
-            if not words:
-                return UND, 1.0
+            return words
+
+        def best(texts):
+            many = [words_of(t) for t in texts]
             if not langs:
-                return UND, 0.0
-            z = scorer.text(words)
-            k = int(np.argmax(z))
-            return langs[k], float(1 / np.exp(z - z[k]).sum())
+                return [(UND, 0.0 if w else 1.0) for w in many]
+            z = scorer.texts(many)
+            k = z.argmax(axis=1)
+            p = 1 / np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)
+            return [(langs[i], float(q)) if w else (UND, 1.0) for w, i, q in zip(many, k, p)]
 
         for batch in batches:
-            got = [best(t.as_py()) for t in batch.column(at_text)]
+            texts, at, got = batch.column(at_text).to_pylist(), 0, []
+            while at < len(texts):
+                end, n = at, 0
+                while end < len(texts) and (end == at or n < 1 << 21):
+                    n, end = n + len(texts[end] or ""), end + 1
+                got += best(texts[at:end])
+                at = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
