@@ -9,8 +9,8 @@ sum of the values at the current depth; when the kth result exceeds that bound t
 stops. Depths double from round to round. The groups' best k of each query are ranked
 at the end, ties to the smaller id.
 
-Components are floor(scale * x) of the component as double, and sums are exact: in double
-arithmetic below 2^53, else in 64-bit integers.
+Components are floor(scale * x) of the component as double, and sums are exact: in single precision
+below 2^24, in double below 2^53, else in 64-bit integers.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an
 id, take no part; rows of one id count once, with the smallest of their vectors; vectors of
@@ -29,36 +29,38 @@ def quantised(col: str, scale: float) -> Column:
     return F.transform(col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
-def threshold_top(q, x, order, ids, own: int, k: int):
-    """Indices into ``x`` of the k largest x @ q, ties to the smaller of ``ids``; order: per
-    dimension, the rows by ascending value."""
+def threshold_top(q, x, order, ranked, ids, own: int, k: int):
+    """Indices into ``x`` of the k largest x @ q, ties to the smaller of ``ids``, and those products;
+    order: per dimension, the rows by ascending value, ranked: those values."""
     import numpy as np
 
-    n, used = len(x), np.flatnonzero(q)
+    n = len(x)
+    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
     seen = ids == own
-    best, score = np.empty(0, dtype=np.int64), np.empty(0, dtype=x.dtype)
-    top, depth, step = q > 0, 0, max(8, k // 4)
-    while depth < n and len(used):
+    best, score, every = np.empty(0, dtype=np.int64), np.empty(0, dtype=x.dtype), None
+    depth, step = 0, max(8, k // 4, n // 64)
+    while depth < n and len(up) + len(down):
         upto = min(n, depth + step)
         fresh = np.zeros(n, dtype=bool)
-        bound = x.dtype.type(0)
-        for d in used:
-            part = order[d][n - upto : n - depth] if top[d] else order[d][depth:upto]
-            fresh[part] = True
-            bound += q[d] * x[part[0] if top[d] else part[-1], d]
+        fresh[order[up, n - upto : n - depth]] = True
+        fresh[order[down, depth:upto]] = True
+        bound = q[up] @ ranked[up, n - upto] + q[down] @ ranked[down, upto - 1]
         fresh &= ~seen
         new = np.flatnonzero(fresh)
         seen |= fresh
-        best, score = np.concatenate([best, new]), np.concatenate([score, x[new] @ q])
+        if every is None and 4 * len(new) > n:
+            every = x @ q  # one pass over the block costs less than so many look-ups
+        best, score = np.concatenate([best, new]), np.concatenate([score, x[new] @ q if every is None else every[new]])
         if len(best) > k:
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            best, score = best[score >= least], score[score >= least]
             keep = np.lexsort((ids[best], -score))[:k]
             best, score = best[keep], score[keep]
         if len(best) == k and score.min() > bound:
             return best, score
         depth, step = upto, 2 * step
     rest = np.flatnonzero(~seen)  # only for a query of zeros: every score is 0
-    if len(rest):
-        best, score = np.concatenate([best, rest]), np.concatenate([score, x[rest] @ q])
+    best, score = np.concatenate([best, rest]), np.concatenate([score, x[rest] @ q])
     keep = np.lexsort((ids[best], -score))[:k]
     return best[keep], score[keep]
 
@@ -75,14 +77,16 @@ def _search(k: int):
         row = np.repeat(np.arange(len(ids)), size)
         m[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
         largest = float(np.abs(m.astype(np.float64)).max(initial=0))
-        if largest * largest * m.shape[1] < 2**53:
-            m = m.astype(np.float64)
+        most = largest * largest * m.shape[1]
+        if most < 2**53:
+            m = m.astype(np.float32 if most < 2**24 else np.float64)
         x, names, queries, own = m[~is_query], ids[~is_query], m[is_query], ids[is_query]
         out = []
         if len(x):
-            order = [np.argsort(x[:, d], kind="stable") for d in range(x.shape[1])]
+            order = np.argsort(x.T, axis=1, kind="stable")
+            ranked = np.take_along_axis(x.T, order, axis=1)
             for q, who in zip(queries, own):
-                best, score = threshold_top(q, x, order, names, who, k)
+                best, score = threshold_top(q, x, order, ranked, names, who, k)
                 out.append((np.full(len(best), who), names[best], score.astype(np.int64)))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 3
         return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
