@@ -30,6 +30,13 @@ def tokens(text: Column, profile: str = "cyrillic", lemmas: Lemmas | None = None
     return F.concat(words, F.filter(found, number))
 
 
+def bag(text: Column, profile: str = "cyrillic", lemmas: Lemmas | None = None) -> Column:
+    """The same tokens in any order, for counting: one pass of the pattern."""
+    if lemmas is not None:
+        return tokens(text, profile, lemmas)
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKENS[profile]), F.lit(0))
+
+
 def normalise(text: Column, profile: str = "cyrillic", lemmas: Lemmas | None = None) -> Column:
     return F.array_join(tokens(text, profile, lemmas), " ")
 
@@ -53,8 +60,8 @@ def hints(metrics: Column, geo: Column, years: Column) -> Column:
 
 def query_terms(query: Column, geo: Column, metrics: Column, profile: str = "cyrillic", lemmas: Lemmas | None = None) -> Column:
     """Tokens of the query, its territories and metrics; repeats count, years are not searched."""
-    more = [tokens(F.concat_ws(" ", c), profile, lemmas) for c in (geo, metrics)]
-    return F.concat(tokens(query, profile, lemmas), *more)
+    more = [bag(F.concat_ws(" ", c), profile, lemmas) for c in (geo, metrics)]
+    return F.concat(bag(query, profile, lemmas), *more)
 
 
 def normalise_id(c: Column) -> Column:

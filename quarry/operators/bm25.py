@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LexicalConfig
 from ..session import materialise
-from .index import best
+from .index import best, spread
 
 EPSILON = 0.25
 
@@ -24,6 +24,7 @@ class Bm25Index:
 
 def build(chunks: DataFrame, fields: dict[str, Column], keep=materialise) -> Bm25Index:
     """chunks: pos and whatever ``fields`` (name -> token array) reads. Empty texts count as documents."""
+    chunks = spread(chunks, "pos")
     per = chunks.select("pos", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()])).alias("f"))
     per = keep(per.select("pos", "f.field", "f.tokens", F.size("f.tokens").alias("dl")), "field-tokens")
     corpus = keep(per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "bm25-corpus")

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import RetrievalConfig
 from ..functions import metadata
-from .index import best
+from .index import best, spread
 
 MIN_RANGE = 1e-3
 
 
 def prepared(df: DataFrame, profile: str, lemmas=None) -> DataFrame:
     """``df`` with geo_tokens and metric_tokens (distinct)."""
-    from ..functions.text import tokens
+    from ..functions.text import bag
 
-    toks = lambda c: F.array_distinct(tokens(F.concat_ws(" ", c), profile, lemmas))
+    toks = lambda c: F.array_distinct(bag(F.concat_ws(" ", c), profile, lemmas))
     return df.withColumn("geo_tokens", toks(F.col("geo"))).withColumn("metric_tokens", toks(F.col("metrics")))
 
 
@@ -28,16 +28,17 @@ META = ("geo_tokens", "metric_tokens", "years", "time_granularity", "oked")
 def metadata_recall(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, pos, metadata_score, rank) of the best k positive scores, for queries with metrics. The batch of
     queries meets all chunks in blocks of at most about ``block`` queries, each broadcast; every task keeps k of each query."""
-    chunk_cols = chunks.select("pos", *META)
+    chunk_cols = spread(chunks.select("pos", *META), "pos")
     asked = queries.where(F.size("metrics") > 0).select("query_id", *[F.col(c).alias(f"q_{c}") for c in META])
     blocks = max(1, -(-asked.count() // block))
     total = F.round(metadata.total_score(metadata.parts()), 9)
     out = None
     for b in range(blocks):
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = chunk_cols.join(F.broadcast(some), F.lit(True)).select("query_id", "pos", total.alias("metadata_score")).where("metadata_score > 0")
+        hits = chunk_cols.join(F.broadcast(some), F.lit(True)).select("query_id", "pos", total.alias("metadata_score"))
         out = hits if out is None else out.unionByName(hits)
-    return best(out, k, ["query_id"], F.desc("metadata_score"), F.col("pos"))
+    ranked = best(out, k, ["query_id"], F.desc("metadata_score"), F.col("pos"))
+    return ranked.where("metadata_score > 0")  # after the ranking: before it, the score would be computed twice
 
 
 def merge(semantic: DataFrame, lexical: DataFrame, recall: DataFrame) -> DataFrame:

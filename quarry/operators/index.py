@@ -23,3 +23,9 @@ def with_dense_index(df: DataFrame, *order: str, name: str = "pos") -> DataFrame
 def best(df: DataFrame, k: int, by: list[str], *order: Column, rank: str = "rank") -> DataFrame:
     """The first k rows of each group of ``by``, with their rank. Spark cuts each task's rows to k a group first."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores: for narrow rows that much is computed from."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

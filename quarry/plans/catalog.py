@@ -18,6 +18,7 @@ from ..operators.enrich import enrich, enrich_queries
 from ..operators.semantic import semantic_top_k
 from ..operators.spelling import corrections
 from ..providers import RuleGenerator
+from ..session import materialise
 from ..sources import pages as page_source, store
 from .build import build_chunks
 from .search import Searcher
@@ -42,7 +43,7 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
         .join(vec, "doc_id", "left")
         .select(
             "doc_id", "pos", "source", "page", text.chunk_id(F.col("source"), F.col("page"), F.col("pos")).alias("id"), "text", F.substring("text", 1, 256).alias("context"),
-            F.array("lang").alias("geo"), F.slice(text.tokens(F.col("text"), PROFILE), 1, 2).alias("metrics"), F.array((2000 + d % 20).cast("int"), (2000 + d % 20 + d % 3).cast("int")).alias("years"),
+            F.array("lang").alias("geo"), F.slice(text.tokens(F.substring("text", 1, 256), PROFILE), 1, 2).alias("metrics"), F.array((2000 + d % 20).cast("int"), (2000 + d % 20 + d % 3).cast("int")).alias("years"),
             F.when(d % 3 == 0, "year").when(d % 3 == 1, "quarter").otherwise("month").alias("time_granularity"), F.concat(F.lpad((d % 30).cast("string"), 2, "0"), F.when(d % 2 == 1, ".1").otherwise("")).alias("oked"), "embedding",
         )
     )
@@ -62,7 +63,7 @@ def _terms(q: DataFrame) -> DataFrame:
 
 
 def _index(c: DataFrame) -> bm25.Bm25Index:
-    toks = lambda x: text.tokens(x, PROFILE)
+    toks = lambda x: text.bag(x, PROFILE)
     return bm25.build(c, {"text": toks(F.col("text")), "context": toks(F.col("context")), "hints": toks(text.hints(F.col("metrics"), F.col("geo"), F.col("years")))})
 
 
@@ -168,8 +169,12 @@ def metadata_recall(spark, sf):
     return fusion.metadata_recall(c, q, CFG.retrieval.recall_top_k).select("query_id", "rank", "pos", F.round("metadata_score", 6).alias("metadata_score"))
 
 
+def _searcher(spark, sf):
+    return Searcher(materialise(chunks(spark, sf), "store"), CFG)  # a store is a table
+
+
 def _search(spark, sf):
-    return Searcher(chunks(spark, sf), CFG).search(questions(spark, sf))
+    return _searcher(spark, sf).search(questions(spark, sf))
 
 
 def hybrid_candidates(spark, sf):
@@ -185,7 +190,7 @@ def hybrid_debug_counts(spark, sf):
 
 
 def search_summary(spark, sf):
-    s = Searcher(chunks(spark, sf), CFG)
+    s = _searcher(spark, sf)
     return output.summary(s.with_chunks(s.search(questions(spark, sf)).top))
 
 

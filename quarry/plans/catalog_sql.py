@@ -15,7 +15,7 @@ _DAY = "CASE {0} % 3 WHEN 0 THEN 'year' WHEN 1 THEN 'quarter' ELSE 'month' END"
 CHUNKS = f"""
 d AS (SELECT *, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents),
 c AS (SELECT d.doc_id, d.pos, d.source, d.page, d.source || '::page' || d.page || '::chunk' || d.pos AS id, d.text, substr(d.text, 1, 256) AS context, [d.lang] AS geo,
-             list_slice({_tokens('d.text')}, 1, 2) AS metrics, [2000 + d.doc_id % 20, 2000 + d.doc_id % 20 + d.doc_id % 3] AS years, {_DAY.format('d.doc_id')} AS tg,
+             list_slice({_tokens('substr(d.text, 1, 256)')}, 1, 2) AS metrics, [2000 + d.doc_id % 20, 2000 + d.doc_id % 20 + d.doc_id % 3] AS years, {_DAY.format('d.doc_id')} AS tg,
              lpad(CAST(d.doc_id % 30 AS VARCHAR), 2, '0') || CASE WHEN d.doc_id % 2 = 1 THEN '.1' ELSE '' END AS oked, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS v
       FROM d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 q AS (SELECT item_id AS query_id, text AS query, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS v, [CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'fr' END] AS geo,

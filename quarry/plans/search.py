@@ -27,7 +27,7 @@ class Searcher:
         self.cfg, self.lemmas = cfg, lemmas
         self.chunks = chunks
         self.meta = materialise(fusion.prepared(chunks.select("pos", "geo", "metrics", "years", "time_granularity", "oked"), cfg.profile, lemmas).drop("geo", "metrics"), "chunk-metadata")
-        toks = lambda c: text.tokens(c, cfg.profile, lemmas)
+        toks = lambda c: text.bag(c, cfg.profile, lemmas)
         self.index = bm25.build(chunks, {"text": toks(F.col("text")), "context": toks(F.col("context")), "hints": toks(text.hints(F.col("metrics"), F.col("geo"), F.col("years")))})
 
     def search(self, queries: DataFrame) -> SearchResult:
