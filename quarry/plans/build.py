@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..config import EngineConfig
 from ..functions.vectors import Embed, embed_column, hashing_embedder
 from ..operators.enrich import enrich
 from ..providers import Generator, RuleGenerator
 from ..schema import STORE
-from ..sources.pages import Extract, fragments, pages, pdf_pages, scan_files, with_ids
+from ..sources.pages import Extract, fragments, list_sources, pages, pdf_pages, scan_files, with_ids
 from ..sources.store import Store, append_log
 
 COLUMNS = [c.split(" ", 1)[0] for c in STORE.split(", ")]
@@ -27,7 +27,7 @@ def build_chunks(page_rows: DataFrame, cfg: EngineConfig = EngineConfig(), gener
 def build_store(spark: SparkSession, folder: str, store_path: str, cfg: EngineConfig = EngineConfig(), generator: Generator | None = None, extract: Extract = pdf_pages, glob: str = "*.pdf", log_path: str | None = None, load: Callable[[], Embed] = hashing_embedder) -> Store:
     """Files that are there now replace their rows, also those that yield no page; rows of other files stay."""
     files = scan_files(spark, folder, glob)
-    seen = files.select(F.element_at(F.split("path", "/"), -1).alias("source"))
+    seen = list_sources(spark, folder, glob)
     rows, failures = build_chunks(pages(fragments(files, extract)), cfg, generator, load)
     store = Store(spark, store_path)
     store.upsert(rows, seen)

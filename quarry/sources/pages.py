@@ -35,6 +35,13 @@ def scan_files(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFra
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", "content")
 
 
+def list_sources(spark: SparkSession, folder: str, glob: str = "*.pdf") -> DataFrame:
+    """(source): the names of the folder's own files, empty ones too (a scan has no row for those)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{glob}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame([(f.getPath().getName(),) for f in found if f.isFile()], "source string")
+
+
 def fragments(files: DataFrame, extract: Extract = pdf_pages) -> DataFrame:
     def run(batches):
         import pyarrow as pa
