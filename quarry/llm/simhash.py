@@ -99,6 +99,7 @@ def _stars(distance: int):
 
         def of(cols):
             key, a, b, fp, rep = cols
+            fp = fp.view(np.uint64)  # of a negative number, bitwise_count() takes the absolute value
             new = np.flatnonzero((np.diff(key) != 0) | (np.diff(a) != 0) | (np.diff(b) != 0)) + 1
             starts = np.concatenate([[0], new, [len(key)]])
             sizes = np.diff(starts)
