@@ -3,9 +3,9 @@
 All pages of a host are merged into one style tree: a node is a path of block elements with
 their classes and ids. For each node two distributions are counted: presentation (the
 sequences of child elements seen under it) and content (the texts directly in it). The node's importance is the
-larger normalised entropy of the two: what looks and reads the same on every page is near 0. A branch's
-importance is the mean over the nodes below it, weighted by occurrences; branches
-below ``min_importance`` with at least ``min_seen`` occurrences are removed from each of the host's pages.
+larger normalised entropy of the two: what looks and reads the same on every page is near 0. A branch is
+as important as the most important node in it; branches below
+``min_importance`` with at least ``min_seen`` occurrences are removed from each of the host's pages.
 
 What elements and names say counts as prior knowledge: navigation, headers, footers, sidebars,
 adverts, notices, forms and comments are removed, scripts and styles are not text, and where a page has an article or main
@@ -141,7 +141,8 @@ def main_text(page: str | None, removed=()) -> str:
 
 
 def _host():
-    return F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.coalesce("url", F.lit("")))
+    name = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
+    return F.coalesce(F.nullif(name, F.lit("")), "url", F.lit(""))
 
 
 def style_counts(pages: DataFrame, flush_at: int = 200_000) -> DataFrame:
@@ -183,8 +184,8 @@ def low_branches(pages: DataFrame, min_importance: float = 0.5, min_seen: int =
     steps = F.split("path", ">")
     prefixes = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), ">"))
     branches = nodes.where("path <> ''").select("host", "m", "importance", F.explode(prefixes).alias("branch"))
-    low = branches.groupBy("host", "branch").agg((F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("mean"), F.max("m").alias("seen"))
-    paths = low.where((F.col("mean") < min_importance) & (F.col("seen") >= min_seen)).groupBy("host").agg(F.array_sort(F.collect_set("branch")).alias("all"))
+    low = branches.groupBy("host", "branch").agg(F.max("importance").alias("importance"), F.max("m").alias("seen"))
+    paths = low.where((F.col("importance") < min_importance) & (F.col("seen") >= min_seen)).groupBy("host").agg(F.array_sort(F.collect_set("branch")).alias("all"))
     top = F.filter("all", lambda x: ~F.exists("all", lambda y: (x != y) & F.startswith(x, F.concat(y, F.lit(">")))))
     return paths.select("host", top.alias("removed"))
 
