@@ -308,7 +308,7 @@ def score(docs: DataFrame, model: NgramModel, *id_cols: str, text_col: str = "te
                 at, part = at[hit], part[hit]
                 total[part] = a["total"][at]
                 back[part] = (big_d[0] * a["n1"][at] + big_d[1] * a["n2"][at] + big_d[2] * a["n3"][at]) / a["total"][at]
-            word_p = (less(before, small_d) / total_pairs if total_pairs else 0.0) + gamma0 / (types + 1)
+            word_p = less(before, small_d) / max(total_pairs, 1) + gamma0 / (types + 1)
             inside = np.ones(len(ids), dtype=bool)
             starts = np.cumsum(lengths) - lengths
             inside[starts] = False
