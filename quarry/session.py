@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +26,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not top:  # a single machine
         app = spark.sparkContext.applicationId
         if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
+            folder = tempfile.mkdtemp(prefix="quarry-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _own[app] = "file://" + folder
         top = _own[app]
     return f"{top.rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
