@@ -6,7 +6,9 @@ a laptop) a temporary folder of this machine is used.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -21,7 +23,9 @@ def shared_dir(spark: SparkSession) -> str:
         return set_dir.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="quarry-shared-")
+        folder = tempfile.mkdtemp(prefix="quarry-shared-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
