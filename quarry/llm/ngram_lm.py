@@ -92,19 +92,41 @@ def batches_of_ids(batches, most: int):
     import numpy as np
 
     words, ids, lengths, kept, n = Words(), [], [], [], 0
+
+    def take():  # nothing of a chunk stays referenced here while the next one is read
+        nonlocal words, ids, lengths, kept, n
+        out = words, np.concatenate(ids), np.array(lengths), kept
+        words, ids, lengths, kept, n = Words(), [], [], [], 0
+        return out
+
     for b in batches:
         names = [b.column(i).to_pylist() for i in range(b.num_columns - 1)]
         for row, t in enumerate(b.column(b.num_columns - 1)):
             toks = [START, *(t.as_py() or "").encode().lower().split(), END]
-            ids.append(np.fromiter(map(words.__getitem__, toks), dtype=np.int64, count=len(toks)))
+            ids.append(np.fromiter(map(words.__getitem__, toks), dtype=np.int32, count=len(toks)))
             lengths.append(len(toks))
             kept.append([c[row] for c in names])
             n += len(toks)
             if n >= most:
-                yield words, np.concatenate(ids), np.array(lengths), kept
-                words, ids, lengths, kept, n = Words(), [], [], [], 0
+                yield take()
     if ids:
-        yield words, np.concatenate(ids), np.array(lengths), kept
+        yield take()
+
+
+def each_chunk(chunks, do):
+    """What ``do`` yields for each chunk; a chunk's memory goes back to the system before the next one."""
+    import ctypes
+
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        trim = lambda _: None
+    while (chunk := next(chunks, None)) is not None:
+        out = do(*chunk)
+        chunk = None
+        yield from out
+        out = None
+        trim(0)
 
 
 def hashes(words: Words):
@@ -113,12 +135,12 @@ def hashes(words: Words):
     return np.fromiter(map(word_hash, words), dtype=np.uint64, count=len(words))
 
 
-def _count_pairs(bits: int, most: int = 4_000_000):
+def _count_pairs(bits: int, most: int = 2_000_000):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for words, ids, lengths, _ in batches_of_ids(batches, most):
+        def pairs(words, ids, lengths, _):
             h = hashes(words)
             order = np.argsort(h)
             rank = np.empty(len(h), dtype=np.uint64)
@@ -131,8 +153,8 @@ def _count_pairs(bits: int, most: int = 4_000_000):
             shard = (left >> np.uint64(64 - bits)).astype(np.int64)
             cuts = np.flatnonzero(np.diff(shard)) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
-            for lo in range(0, len(starts), 256):
-                some = list(zip(starts[lo : lo + 256], ends[lo : lo + 256]))
+            for lo in range(0, len(starts), 32):
+                some = list(zip(starts[lo : lo + 32], ends[lo : lo + 32]))
                 blocks = []
                 for s, e in some:
                     first = np.flatnonzero(np.concatenate([[True], left[s + 1 : e] != left[s : e - 1]]))
@@ -140,6 +162,8 @@ def _count_pairs(bits: int, most: int = 4_000_000):
                     blocks.append(struct.pack("<2q", len(first), e - s) + left[s:e][first].tobytes() + runs.astype("<u4").tobytes() + right[s:e].tobytes() + c[s:e].astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([int(shard[s]) for s, _ in some], type=pa.int32()), pa.array(blocks, type=pa.binary())], names=["shard", "block"])
 
+        yield from each_chunk(batches_of_ids(batches, most), pairs)
+
     return run
 
 
@@ -149,8 +173,9 @@ def _by_shard(batches):
     for b in batches:
         for s, x in zip(b.column(0).to_pylist(), b.column(1)):
             if s != shard and blocks:
-                yield shard, blocks
-                blocks = []
+                done, blocks = blocks, []
+                yield shard, done
+                done = None
             shard = s
             blocks.append(x.as_py())
     if blocks:
@@ -176,7 +201,7 @@ def _merge_pairs(path: str, bits: int):
         import numpy as np
         import pyarrow as pa
 
-        for shard, blocks in _by_shard(batches):
+        def merge(shard, blocks):
             lefts, rights, counts = [], [], []
             for x in blocks:
                 u, n = struct.unpack_from("<2q", x)
@@ -198,6 +223,8 @@ def _merge_pairs(path: str, bits: int):
             yield pa.RecordBatch.from_arrays([pa.array([int(to[s]) for s, _ in bounds], type=pa.int32()), pa.array(out, type=pa.binary()), pa.array([None] * len(out), type=pa.list_(pa.int64()))], names=["shard", "block", "stats"])
             yield pa.RecordBatch.from_arrays([pa.array([None], type=pa.int32()), pa.array([None], type=pa.binary()), pa.array([_stats(c)], type=pa.list_(pa.int64()))], names=["shard", "block", "stats"])
 
+        yield from each_chunk(_by_shard(batches), merge)
+
     return run
 
 
@@ -206,7 +233,7 @@ def _merge_words(path: str):
         import numpy as np
         import pyarrow as pa
 
-        for shard, blocks in _by_shard(batches):
+        def merge(shard, blocks):
             parts = []
             for x in blocks:
                 (n,) = struct.unpack_from("<q", x)
@@ -216,6 +243,8 @@ def _merge_words(path: str):
             write_arrays(f"{path}/words-{shard}", word=word, count=count, before=before)
             yield pa.RecordBatch.from_arrays([pa.array([_stats(before) + [int(count.sum())]], type=pa.list_(pa.int64()))], names=["stats"])
 
+        yield from each_chunk(_by_shard(batches), merge)
+
     return run
 
 
@@ -278,7 +307,7 @@ class Lookup:
         return at, among[at] == keys
 
 
-def score(docs: DataFrame, model: NgramModel, *id_cols: str, text_col: str = "text", most: int = 500_000) -> DataFrame:
+def score(docs: DataFrame, model: NgramModel, *id_cols: str, text_col: str = "text", most: int = 300_000) -> DataFrame:
     """The id columns, n_tokens, n_known, base_score and score (log10 of the text's probability)
     of every row."""
     m = model
@@ -296,7 +325,7 @@ def score(docs: DataFrame, model: NgramModel, *id_cols: str, text_col: str = "te
         def less(c, d):
             return np.maximum(c - np.select([c == 1, c == 2, c > 2], d, 0.0), 0.0)
 
-        for words, ids, lengths, kept in batches_of_ids(batches, most):
+        def scores(words, ids, lengths, kept):
             h = hashes(words)
             count, before = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
             total, back = np.zeros(len(h)), np.ones(len(h))
@@ -332,6 +361,8 @@ def score(docs: DataFrame, model: NgramModel, *id_cols: str, text_col: str = "te
                 names=[*(f.name for f in fields), "n_tokens", "n_known", "base_score", "score"],
             )
 
+        yield from each_chunk(batches_of_ids(batches, most), scores)
+
     picked = docs.select(*[F.col(f.name) for f in fields], F.col(text_col).alias("__text"))
     return picked.mapInArrow(run, f"{schema}, n_tokens long, n_known long, base_score double, score double")
 
