@@ -23,6 +23,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .shared import malloc_trim
+
 UNKNOWN, MAX_WORD, MAX_PIECE, MARK = 1e-9, 28, 10, "▁"
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
@@ -235,6 +237,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: s
         import numpy as np
         import pyarrow as pa
 
+        trim = malloc_trim()
         scorer = Scorer(pieces, p, cache) if langs else None
 
         def words_of(text):
@@ -260,6 +263,7 @@ def predict(docs: DataFrame, langs: list[str], pieces: list[str], p, text_col: s
                     n, end = n + len(texts[end] or ""), end + 1
                 got += best(texts[at:end])
                 at = end
+            trim(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], type=pa.string()), pa.array([g[1] for g in got], type=pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))

@@ -31,7 +31,7 @@ import struct
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import fresh_path, map_file, materialise, write_file
+from .shared import fresh_path, malloc_trim, map_file, materialise, write_file
 
 START, END = b" s", b" e"  # no token holds a space
 MIX = 0x9E3779B97F4A7C15
@@ -115,12 +115,7 @@ def batches_of_ids(batches, most: int):
 
 def each_chunk(chunks, do):
     """What ``do`` yields for each chunk; a chunk's memory goes back to the system before the next one."""
-    import ctypes
-
-    try:
-        trim = ctypes.CDLL(None).malloc_trim
-    except (OSError, AttributeError):  # not glibc
-        trim = lambda _: None
+    trim = malloc_trim()
     while (chunk := next(chunks, None)) is not None:
         out = do(*chunk)
         chunk = None

@@ -8,7 +8,16 @@ from . import chat, decontam, html_extract, langid, line_dedup, ngram_lm, packin
 from .sql import ORACLES  # noqa: F401
 
 
+ARROW_ROWS = 2000  # rows are whole texts: Spark's 10,000 a batch would take up to some GB
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -87,3 +87,13 @@ def map_file(path: str):
             tmp.write(block)
         tmp.flush()
         return mmap.mmap(tmp.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def malloc_trim():
+    """The C library's function that gives free memory back to the system; does nothing where there is none."""
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return lambda _: None
