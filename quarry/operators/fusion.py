@@ -25,19 +25,26 @@ def prepared(df: DataFrame, profile: str, lemmas=None) -> DataFrame:
 META = ("geo_tokens", "metric_tokens", "years", "time_granularity", "oked")
 
 
-def metadata_recall(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(query_id, pos, metadata_score, rank) of the best k positive scores, for queries with metrics. The batch of
-    queries meets all chunks in blocks of at most about ``block`` queries, each broadcast; every task keeps k of each query."""
+def scored_pairs(chunks: DataFrame, queries: DataFrame, scores: dict, block: int = 4096) -> DataFrame:
+    """(query_id, pos, scores) of every query and chunk. The batch of queries meets all chunks in blocks of at most
+    about ``block`` queries, each broadcast; ``scores`` are named expressions over META and q_META."""
     chunk_cols = spread(chunks.select("pos", *META), "pos")
-    asked = queries.where(F.size("metrics") > 0).select("query_id", *[F.col(c).alias(f"q_{c}") for c in META])
+    asked = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in META])
     blocks = max(1, -(-asked.count() // block))
-    total = F.round(metadata.total_score(metadata.parts()), 9)
     out = None
     for b in range(blocks):
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        hits = chunk_cols.join(F.broadcast(some), F.lit(True)).select("query_id", "pos", total.alias("metadata_score"))
+        hits = chunk_cols.join(F.broadcast(some), F.lit(True)).select("query_id", "pos", *[x.alias(n) for n, x in scores.items()])
         out = hits if out is None else out.unionByName(hits)
-    ranked = best(out, k, ["query_id"], F.desc("metadata_score"), F.col("pos"))
+    return out
+
+
+def metadata_recall(chunks: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(query_id, pos, metadata_score, rank) of the best k positive scores, for queries with metrics; every task
+    keeps k of each query."""
+    total = F.round(metadata.total_score(metadata.parts()), 9)
+    pairs = scored_pairs(chunks, queries.where(F.size("metrics") > 0), {"metadata_score": total}, block)
+    ranked = best(pairs, k, ["query_id"], F.desc("metadata_score"), F.col("pos"))
     return ranked.where("metadata_score > 0")  # after the ranking: before it, the score would be computed twice
 
 

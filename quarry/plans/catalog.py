@@ -158,10 +158,9 @@ def bm25_topk(spark, sf):
 
 
 def metadata_scores(spark, sf):
-    c = fusion.prepared(chunks(spark, sf), PROFILE).select("pos", *fusion.META)
-    q = fusion.prepared(questions(spark, sf), PROFILE).where("query_id < 5").select("query_id", *[F.col(x).alias(f"q_{x}") for x in fusion.META])  # five questions are the report
+    c, q = fusion.prepared(chunks(spark, sf), PROFILE), fusion.prepared(questions(spark, sf), PROFILE)
     p = metadata.parts()
-    return c.join(F.broadcast(q), F.lit(True)).select("query_id", "pos", *[F.round(p[n], 6).alias(n) for n in p], F.round(metadata.total_score(p), 6).alias("total"))
+    return fusion.scored_pairs(c, q, {n: F.round(x, 6) for n, x in p.items()} | {"total": F.round(metadata.total_score(p), 6)})
 
 
 def metadata_recall(spark, sf):
@@ -195,11 +194,10 @@ def search_summary(spark, sf):
 
 
 def upsert_by_source(spark, sf):
-    d = F.col("doc_id")
-    rows = _read(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"))
-    old, new = rows.where(d % 2 == 0), rows.where((d % 4 == 1) & (F.col("source") != "src2")).withColumn("n", F.col("n") + 1)
-    seen = rows.where(F.col("source").isin("src1", "src2", "src3")).select("source")
-    return store.upsert(old, new.where(F.col("source").isin("src1", "src3")), seen)
+    """The store holds all documents; src1, src2 and src3 come again, longer by one, and src2 without any row."""
+    old = _read(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"))
+    seen = old.where(F.col("source").isin("src1", "src2", "src3"))
+    return store.upsert(old, seen.where("source <> 'src2'").withColumn("n", F.col("n") + 1), seen.select("source"))
 
 
 def store_integrity(spark, sf):

@@ -117,12 +117,12 @@ SELECT source, page, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_c
     "bm25_idf": _with(CHUNKS, INDEX) + "SELECT field, term, df, round(idf, 6) AS idf FROM idf",
     "bm25_corpus": _with(CHUNKS, INDEX) + "SELECT field, n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM idf WHERE idf.field = corpus.field) AS vocabulary FROM corpus",
     "bm25_topk": _with(CHUNKS, INDEX, LEXICAL) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(score, 6) AS score FROM lex",
-    "metadata_scores": _with(CHUNKS, META) + "SELECT query_id, pos, round(geo, 6) AS geo, round(metrics, 6) AS metrics, round(years, 6) AS years, granularity, oked, round(total, 6) AS total FROM meta WHERE query_id < 5",
+    "metadata_scores": _with(CHUNKS, META) + "SELECT query_id, pos, round(geo, 6) AS geo, round(metrics, 6) AS metrics, round(years, 6) AS years, granularity, oked, round(total, 6) AS total FROM meta",
     "metadata_recall": _with(CHUNKS, META) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(total, 6) AS metadata_score FROM rec",
     "hybrid_candidates": HYBRID + "SELECT query_id, pos, o[1] AS origin, round(semantic_raw, 6) AS semantic_raw, round(lexical_raw, 6) AS lexical_raw, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score, round(metadata_score, 6) AS metadata_score, round(hybrid_score, 6) AS hybrid_score FROM cand",
     "hybrid_topk": HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(hybrid_score, 6) AS hybrid_score FROM top",
     "hybrid_debug_counts": HYBRID + "SELECT query_id, count(*) FILTER (o[1] = 0) AS semantic, count(*) FILTER (o[1] = 1) AS lexical_added, count(*) FILTER (o[1] = 2) AS metadata_added, count(*) AS candidates, least(count(*), 5) AS returned FROM cand GROUP BY query_id",
     "search_summary": HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS rank, c.id, round(hybrid_score, 4) AS score, concat_ws('; ', 'geo: ' || array_to_string(c.geo, ', '), CASE WHEN len(c.metrics) > 0 THEN 'metrics: ' || array_to_string(c.metrics, ', ') END, 'years: ' || array_to_string(c.years, ', '), 'granularity: ' || c.tg, 'oked: ' || c.oked) AS metadata FROM top JOIN c USING (pos) WHERE rank <= 3",
-    "upsert_by_source": "SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id % 2 = 0 AND source NOT IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, source, CAST(length(text) + 1 AS INTEGER) FROM documents WHERE doc_id % 4 = 1 AND source IN ('src1', 'src3')",
+    "upsert_by_source": "SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, source, CAST(length(text) + 1 AS INTEGER) FROM documents WHERE source IN ('src1', 'src3')",
     "store_integrity": _with(CHUNKS) + "SELECT count(*) AS chunks, count(v) AS vectors, count(*) FILTER (trim(coalesce(context, '')) = '' AND v IS NULL) AS blank, count(*) = count(v) + count(*) FILTER (trim(coalesce(context, '')) = '' AND v IS NULL) AS ok FROM c",
 }
