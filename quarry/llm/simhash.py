@@ -149,7 +149,7 @@ def links(classes: DataFrame, distance: int = 3, blocks: int = 5, shared: int =
     return edges.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(v, root): the smallest vertex that can be reached. Each round hooks a vertex and its
     parent under the smallest grandparent of its neighbours; the sum of parents only falls,
     and when it stays the same the parents are the roots."""
@@ -159,16 +159,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     def total(p):
         return p.agg(F.sum(F.col("f").cast("decimal(38,0)"))).first()[0]
 
-    last = total(parents)
-    for _ in range(max_rounds if last is not None else 0):
+    last, before = total(parents), None
+    while last != before:
         up = parents.select(F.col("v").alias("f"), F.col("f").alias("g"))
         grand = parents.join(up, "f").select("v", "f", "g")
         low = both.join(grand.select("v", "g"), "v").groupBy(F.col("u").alias("v")).agg(F.min("g").alias("m"))
         hooked = parents.join(low, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("f")), F.struct(F.col("f").alias("v"), F.col("m").alias("f")))).alias("x")).select("x.*")
         parents = materialise(hooked.union(grand.select("v", F.col("g").alias("f"))).groupBy("v").agg(F.min("f").alias("f")), "parents")
-        last, now = total(parents), last
-        if last == now:
-            break
+        last, before = total(parents), last
     return parents.select("v", F.col("f").alias("root"))
 
 
