@@ -16,7 +16,9 @@ with a third of all pages is no hot group. The removed branches go back to the p
 broadcast while they number at most ``broadcast_rows``.
 
 Defined cases: null html has no text; a null or odd URL is a host of its own name ("" if null);
-equal rows give equal rows; unclosed and misnested tags end with the block that holds them;
+equal rows give equal rows; elements nested deeper than ``MAX_DEPTH`` blocks count as parts of the one at that depth
+(their text stays); unclosed and misnested tags end with the block that holds them;
+a page of which the tree would leave nothing (a host that repeats one page) keeps what tags and names leave;
 a page without text gives an empty text; an empty table gives no rows; other columns are ignored.
 """
 
@@ -38,6 +40,7 @@ OUTSIDE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr":
 BOILERPLATE_TAGS = frozenset("nav aside footer form dialog menu search".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 BOILERPLATE_NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead banner footer copyright sidebar sidenav aside widget related share sharing social ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup comment comments disqus respond reply replies pagination pager login search toolbar skip".split())
+MAX_DEPTH = 64  # levels of the tree
 MAIN_TAGS = frozenset(("article", "main"))
 
 
@@ -124,7 +127,8 @@ def parse(page: str):
             children = nodes.setdefault(path, [])
             if not children or children[-1] != style:
                 children.append(style)
-            path = f"{path}>{style}"
+            if path.count(">") < MAX_DEPTH:
+                path = f"{path}>{style}"
         stack.append((tag, block, path, main or tag in MAIN_TAGS, bad))
     say(page[at:])
     flush()
@@ -137,7 +141,9 @@ def main_text(page: str | None, removed=()) -> str:
     if any(main and not bad for _, main, bad, _ in blocks):
         return "\n".join(text for _, main, bad, text in blocks if main and not bad)
     gone = tuple(f"{r}>" for r in removed)
-    return "\n".join(text for path, _, bad, text in blocks if not bad and not f"{path}>".startswith(gone))
+    rest = [(path, text) for path, _, bad, text in blocks if not bad]
+    kept = [text for path, text in rest if not f"{path}>".startswith(gone)]
+    return "\n".join(kept or [text for _, text in rest])
 
 
 def _host():

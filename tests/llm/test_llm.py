@@ -324,6 +324,18 @@ def test_style_tree_removes_what_repeats(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_repeated_page_keeps_its_text(spark):
+    page = "<nav>menu</nav><div class=top>Hello</div><p>one text</p>"
+    got = html_extract.extract(spark.createDataFrame([(k, "http://h.example/", page) for k in range(20)], "page_id long, url string, html string")).collect()
+    assert {r["text"] for r in got} == {"Hello\none text"}
+
+
+def test_deep_nesting_keeps_its_text(spark):
+    deep = "<body>" + "".join(f"<div>open {i}" for i in range(3000))
+    got = html_extract.extract(spark.createDataFrame([(k, "http://h.example/", deep) for k in range(9)], "page_id long, url string, html string"), min_seen=10).collect()
+    assert {r["text"] for r in got} == {"\n".join(f"open {i}" for i in range(3000))}
+
+
 def test_articles_of_the_tables(spark):
     """Whole articles, also where a host repeats them: nothing is dropped."""
     for r in html_extract.extract(queries.read(spark, SF, "pages")).join(queries.read(spark, SF, "pages").select("page_id", "html"), "page_id").collect():
