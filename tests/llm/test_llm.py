@@ -204,6 +204,64 @@ def test_simhash_many_random_links(spark):
         assert all(got.get(k, k) == find(k) for k in range(len(fps)))
 
 
+@pytest.mark.parametrize("tile", [4096, 6])
+def test_simhash_with_similarity(spark, tile):
+    """Links need few differing bits and similar shingle sets; all pairs say the same."""
+    from xxhash import xxh64_intdigest
+
+    rnd = random.Random(4)
+    rows = odd_rows(4)
+    for c in range(12):
+        base = words(rnd, 160, 500).split()
+        for v in range(6):
+            changed = list(base)
+            for _ in range(rnd.randrange(0, 9)):
+                changed[rnd.randrange(len(base))] = f"v{rnd.random()}"
+            rows.append((1000 + 10 * c + v, " ".join(changed)))
+    rows += [(2000, rows[-1][1]), (None, rows[-1][1])]
+    fps, sketches, sets = [], [], []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        hs = [xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))] if w else []
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)))
+        sketches.append([min((h // 64 for h in hs if h % 64 == b), default=None) for b in range(64)])
+        sets.append(set(hs))
+    marks = [[None if x is None else x % 255 for x in s] for s in sketches]
+
+    def linked(a, b):
+        used = [(x, y) for x, y in zip(marks[a], marks[b]) if x is not None or y is not None]
+        return (fps[a] ^ fps[b]).bit_count() <= 6 and (not used or sum(x == y for x, y in used) / len(used) >= 0.8)
+
+    named = [k for k, r in enumerate(rows) if r[0] is not None]
+    root = {k: k for k in named}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    cut = 0
+    for a in named:
+        for b in named:
+            if a < b and linked(a, b):
+                root[find(b)] = find(a)
+            cut += a < b and (fps[a] ^ fps[b]).bit_count() <= 6 and not linked(a, b)
+    groups = collections.defaultdict(list)
+    for k in named:
+        groups[find(k)].append(rows[k][0])
+    want = {rows[k][0]: min(groups[find(k)]) for k in named}
+    got = simhash.near_duplicates(docs(spark, rows), tile=tile, shingle=5, distance=6, blocks=8, shared=2, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [want[2000]]
+    assert cut and any(len(g) > 1 and len({rows[k][1] for k in named if find(k) == f}) > 1 for f, g in groups.items())
+    exact = [len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for a in named for b in named if a < b and (sets[a] or sets[b]) and linked(a, b)]
+    assert min(exact, default=1) > 0.6
+
+
+def test_simhash_blocks():
+    assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 8) == (10, 2) and simhash.blocks_for(10**8, 8) == (11, 3)
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(docs(spark, [(1, "a")]).limit(0)).count() == 0
     r = simhash.near_duplicates(docs(spark, [(5, None), (3, ""), (4, " ")])).collect()
@@ -480,7 +538,7 @@ def test_pipeline_against_brute_force(spark):
     ids = {r["doc_id"] for r in table}
     assert set(kept["language_id"]) == {r["doc_id"] for r in table if any(c.isalpha() for c in r["text"])} | {10**6 + 2}
     assert set(kept["line_dedup"]) == set(kept["language_id"]) and all(r["n_chars"] == len(r["text"]) for r in kept["line_dedup"].values())
-    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(kept["line_dedup"].values()), start.schema)).collect()}
+    comp = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(kept["line_dedup"].values()), start.schema), **cp.NEAR).collect()}
     assert set(kept["simhash_dedup"]) == set(comp.values()) and 10**6 + 2 not in kept["simhash_dedup"]
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{SF}/benchmark.parquet").to_pylist()]
     clean = {i for i, r in kept["simhash_dedup"].items() if not brute_hits(r["text"], items)[2]}
