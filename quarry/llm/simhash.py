@@ -98,7 +98,7 @@ def block_masks(blocks: int, shared: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def blocks_for(n: int, distance: int, most: int = 4096) -> tuple[int, int]:
+def blocks_for(n: int, distance: int, most: int = 64) -> tuple[int, int]:
     """(blocks, shared) for ``n`` fingerprints: as few tables as keep a list of random fingerprints at
     ``most`` on average. Any choice finds the same pairs."""
     shared = 2

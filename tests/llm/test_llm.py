@@ -259,7 +259,7 @@ def test_simhash_with_similarity(spark, tile):
 
 
 def test_simhash_blocks():
-    assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 8) == (10, 2) and simhash.blocks_for(10**8, 8) == (11, 3)
+    assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 6) == (8, 2) and simhash.blocks_for(10**8, 6) == (9, 3)
 
 
 def test_simhash_edges(spark):
