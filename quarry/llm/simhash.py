@@ -11,7 +11,8 @@ pointer jumping, one written table a round; copies share a fingerprint and are o
 
 Few differing bits mean a small angle, not a Jaccard similarity: of pairs at 4 to 7 bits more than
 half can be below 0.8. With ``similarity``, the texts of each component are compared once more, by bits and by
-64-byte MinHash sketches, in the same tiled groups.
+64-byte MinHash sketches, in the same tiled groups. With ``jaccard``, the links are those of module ``jaccard``
+instead: exact similarities of all pairs, not only of those within some bits.
 
 Defined cases: null text and texts without words have fingerprint zero and link like any
 other; texts of fewer words than a shingle are one shingle; equal rows give equal output
@@ -26,6 +27,7 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import jaccard as exact
 from .shared import materialise
 
 SEED = 42
@@ -237,10 +239,14 @@ def _labelled(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return named.unionByName(classes.where("rep is null").withColumn("component_id", F.lit(None).cast("long")))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int | None = None, shared: int = 2, tile: int = 4096, similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks: int | None = None, shared: int = 2, tile: int = 4096, similarity: float | None = None, jaccard: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for every row of ``docs``. With ``similarity``, a link
     also needs an estimated Jaccard similarity of the shingle sets of at least that: any two texts
-    within ``distance`` are in one component of the fingerprints, so links are looked for again inside each of these."""
+    within ``distance`` are in one component of the fingerprints, so links are looked for again inside each of these.
+    With ``jaccard``, links are all pairs of texts of at least that exact Jaccard similarity, whatever their bits."""
+    if jaccard:
+        labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, id_col, text_col)
+        return labels.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     prints = materialise(fingerprints(docs, shingle, id_col, text_col, bool(similarity)), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
     labels, by = _labelled(classes, links(classes.where("rep is not null"), distance, blocks, shared, tile)).select("fp", "component_id"), ["fp"]

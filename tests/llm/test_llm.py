@@ -258,6 +258,52 @@ def test_simhash_with_similarity(spark, tile):
     assert min(exact, default=1) > 0.6
 
 
+@pytest.mark.parametrize("tile", [4096, 6])
+def test_near_duplicates_by_exact_jaccard(spark, tile):
+    """Links are all pairs of real Jaccard similarity 0.8 or more, far bits and estimates below 0.8 included."""
+    rnd = random.Random(14)
+    rows = odd_rows(4)
+    for c in range(30):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([30, 60, 150, 400]))]
+        for v in range(5):
+            changed = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(base) // 40)):
+                changed[rnd.randrange(len(base))] = f"v{rnd.random()}"
+            rows.append((1000 + 10 * c + v, " ".join(changed)))
+    rows += [(5000, "a b c d e f g h i"), (5001, "a b c d e f g h"), (5002, "b c d e f g h i"), (None, "b c d e f g h i")]  # 4 of 5 shared: just 0.8
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    similar = lambda a, b: sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])
+    named = [k for k, r in enumerate(rows) if r[0] is not None]
+    root, far, misjudged = {k: k for k in named}, 0, 0
+    seen = [simhash.fingerprint_and_sketch(t, 5) for _, t in rows]
+    sketch = [np.frombuffer(s, dtype=np.uint8) for _, s in seen]
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in named:
+        for b in named:
+            if a < b and sets[a] and sets[b]:
+                far += similar(a, b) and (seen[a][0] ^ seen[b][0]).bit_count() > 6
+                misjudged += similar(a, b) != (float(simhash.similarity_of(sketch[a], sketch[b])) >= 0.8)
+            if a < b and similar(a, b):
+                root[find(b)] = find(a)
+    assert far > 5 and misjudged > 5
+    groups = collections.defaultdict(list)
+    for k in named:
+        groups[find(k)].append(rows[k][0])
+    want = {rows[k][0]: min(groups[find(k)]) for k in named}
+    got = simhash.near_duplicates(docs(spark, rows), tile=tile, shingle=5, jaccard=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == want
+    assert want[5001] == 5000 and [r["component_id"] for r in got if r["doc_id"] is None] == [want[5002]]
+    assert {r["doc_id"]: r["fp"] for r in got} == {i: f for (i, _), (f, _) in zip(rows, seen)}
+
+
 def test_simhash_blocks():
     assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 6) == (8, 2) and simhash.blocks_for(10**8, 6) == (9, 3)
 
