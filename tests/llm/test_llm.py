@@ -304,6 +304,24 @@ def test_near_duplicates_by_exact_jaccard(spark, tile):
     assert {r["doc_id"]: r["fp"] for r in got} == {i: f for (i, _), (f, _) in zip(rows, seen)}
 
 
+def test_pipeline_decides_near_duplicates_exactly(spark):
+    """Estimates on the wrong side of 0.8 delete nothing and keep nothing."""
+    import corpus_pipeline as cp
+
+    rnd, rows, want, wrong = random.Random(8), [], set(), collections.Counter()
+    while min(wrong[True], wrong[False]) < 5:
+        base = [f"w{rnd.random()}" for _ in range(200)]
+        other = base[: rnd.randrange(170, 187)] + [f"v{rnd.random()}" for _ in range(15)]
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
+        similar = 10 * len(a & b) >= 8 * len(a | b)
+        s, t = (np.frombuffer(simhash.fingerprint_and_sketch(" ".join(w), 5)[1], dtype=np.uint8) for w in (base, other))
+        if (float(simhash.similarity_of(s, t)) >= 0.8) != similar and wrong[similar] < 5:
+            wrong[similar] += 1
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+            want |= {len(rows) - 2} if similar else {len(rows) - 2, len(rows) - 1}
+    assert {r["doc_id"] for r in cp.near_dedup(spark, docs(spark, rows), "").collect()} == want
+
+
 def test_simhash_blocks():
     assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 6) == (8, 2) and simhash.blocks_for(10**8, 6) == (9, 3)
 
