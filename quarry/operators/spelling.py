@@ -50,8 +50,11 @@ def corrections(words: DataFrame, dictionary: DataFrame, custom: tuple[str, ...]
     known = dictionary.select("word", "freq")
     lost = asked.where(~F.col("word").isin(*custom)) if custom else asked
     lost = materialise(lost.join(known, "word", "left_anti"), "misspelt")
+    size = F.length("word")
+    sizes = lost.select(F.explode(F.sequence(size - DISTANCE, size + DISTANCE)).alias("size")).distinct()
+    close = materialise(known.join(F.broadcast(sizes), size == F.col("size"), "left_semi"), "candidates")  # others are further away
     keys = lambda df: df.select("*", F.explode(deletions(F.col("word"))).alias("key"))
-    pairs = keys(lost).join(keys(known.select(F.col("word"), "freq")).select(F.col("word").alias("candidate"), "freq", "key"), "key").select("word", "candidate", "freq").distinct()
+    pairs = keys(lost).join(keys(close).select(F.col("word").alias("candidate"), "freq", "key"), "key").select("word", "candidate", "freq").distinct()
     near = pairs.withColumn("d", distance("word", "candidate")).where(F.col("d") <= DISTANCE)
     found = best(near, 1, ["word"], F.asc("d"), F.desc("freq"), F.asc("candidate")).select("word", "candidate")
     return asked.join(found, "word", "left").select("word", F.coalesce("candidate", "word").alias("correction"))

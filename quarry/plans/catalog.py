@@ -206,8 +206,8 @@ def store_integrity(spark, sf):
 
 def spell_correct(spark, sf):
     """Each distinct word of the questions without its second letter, against the words of the documents."""
-    words = _read(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("word")).where("length(word) between 3 and 12").groupBy("word").agg(F.count("*").alias("freq")).where("freq >= 20")
-    asked = _read(spark, sf, "benchmark").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("w")).where("length(w) between 4 and 12").select(F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)")).alias("word")).distinct()
+    words = _read(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    asked = _read(spark, sf, "benchmark").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("w")).select(F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)")).alias("word")).distinct()
     return corrections(asked, words)
 
 

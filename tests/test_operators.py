@@ -114,6 +114,23 @@ def test_upsert(spark):
     assert sorted(store.upsert(once, mk([("a", 5)]), seen).collect()) == sorted(once.collect())
 
 
+def test_spell_correct_query_uses_every_word(spark, tmp_path):
+    """Rare, short and long words are asked and offered: what all pairs of words say."""
+    from quarry.plans.catalog import spell_correct
+
+    texts = ["of an it management management internationalisation interpretation", "internationalisation responsibilities ox at a " + "common comet " * 25 + "x" * 300]
+    asked = ["a of management internationalisation responsibilities", "common interpretation at unrelatedlongquestionword"]
+    for name, rows in (("documents", texts), ("benchmark", asked)):
+        spark.createDataFrame([(t,) for t in rows], "text string").write.parquet(f"{tmp_path}/{name}.parquet")
+    freq = {w: " ".join(texts).split().count(w) for w in " ".join(texts).split()}
+    want = {}
+    for w in {x[:1] + x[2:] for x in " ".join(asked).split()}:
+        near = sorted((edits(w, c), -n, c) for c, n in freq.items() if edits(w, c) <= 2)
+        want[w] = w if w in freq or not near else near[0][2]
+    assert {r["word"]: r["correction"] for r in spell_correct(spark, str(tmp_path)).collect()} == want
+    assert want["mnagement"] == "management" and want["iternationalisation"] == "internationalisation"
+
+
 def test_spelling(spark):
     assert edits("минск", "минкс") == 1 and edits("кот", "кит") == 1 and edits("a", "abc") == 2
     d = spark.createDataFrame([("минск", 9), ("минус", 5), ("население", 3)], "word string, freq long")
