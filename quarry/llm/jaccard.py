@@ -4,8 +4,10 @@ Prefix filter: sets of n shingles that are that similar share at least t * n of
 among their n - ceil(t * n) + 1 smallest hashes. Every distinct set is listed under those; lists with two or more sets are
 cut into tiles, and each pair of tiles is one group. A pair in a list stays a candidate if its sizes, and
 the parities of its hashes in 512 bins, allow the threshold (their differing bits are never more than the sets' differing
-shingles). Both tests and the filter lose no pair. Every similar pair is then inside one component of the
-candidates; the sets of a component, read from the texts again, are compared whole in the same tiled groups.
+shingles). Candidate pairs are then held against parities in as many bins as the sets are large, which 512 bins of a large
+set no longer tell. All these tests lose no pair. A group with more than ``DENSE`` candidates a member (many near copies)
+yields star edges of its candidates' components instead of pairs. Every similar pair is then inside one component of what is
+left; the sets of a component, read from the texts again, are compared whole in the same tiled groups.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from .shared import materialise
 
 BINS = 512
 TILE_BYTES = 16 << 20
+SMALL, DENSE = 32, 16
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int):
@@ -54,125 +57,109 @@ def prefix_length(n: int, jaccard: float) -> int:
     return n and n - math.ceil(jaccard * n - 1e-6) + 1
 
 
+def parities(hashes, bins: int):
+    """Of the numbers of hashes in each bin, as 64-bit words; ``bins`` is a power of two from 64 on."""
+    import numpy as np
+
+    odd = np.bincount(((hashes >> np.uint64(16)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def bins_for(n: int) -> int:
+    return max(BINS, 1 << (2 * n - 1).bit_length())
+
+
+def folded(words, size: int):
+    """Parities in ``size`` 64-bit words from those in more."""
+    while len(words) > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def allowed(jaccard: float, sizes):
+    """How many shingles may differ between sets of together ``sizes``."""
+    return (1 - jaccard) / (1 + jaccard) * sizes + 1e-6
+
+
 def described(docs: DataFrame, shingle: int, jaccard: float, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, sid, n, bits, prefix) of every row: fingerprint, identity and size of the set, parities, smallest hashes."""
+    """(doc_id, text_hash, fp, sid, n, sketch, prefix) of every row: fingerprint, identity and size of the set, parities,
+    smallest hashes."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            fps, sids, sizes, bits, prefixes = [], [], [], [], []
-            for t in b.column(1):
+            fps, sids, sizes, sketches, prefixes = [], [], [], [], []
+            for t in b.column(2):
                 every = shingle_hashes(t.as_py(), shingle, seed)
                 found = np.unique(every)
                 fps.append(majority(every))
                 sids.append(set_id(found))
                 sizes.append(len(found))
-                odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % BINS, minlength=BINS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                sketches.append(parities(found, bins_for(len(found))).tobytes())
                 prefixes.append(found[: prefix_length(len(found), jaccard)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "sid", "n", "bits", "prefix"],
+                [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "fp", "sid", "n", "sketch", "prefix"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, sid long, n long, bits binary, prefix array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(
+        run, "doc_id long, text_hash long, fp long, sid long, n long, sketch binary, prefix array<long>"
+    )
 
 
-def _sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """rows (key, sid, text) -> (key, sid, n, data): the whole set of each text that has the identity ``sid``."""
+def text_hash(text_col: str):
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _small_sketch(classes: DataFrame) -> DataFrame:
+    """(sid, n, data): the parities folded to ``BINS`` bins."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for key, sid, t in zip(*(c.to_pylist() for c in b.columns)):
-                found = np.unique(shingle_hashes(t, shingle, seed))
-                if set_id(found) == sid:  # another text may have the same doc_id
-                    out.append((key, sid, len(found), found.tobytes()))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["key", "sid", "n", "data"])
-
-    return rows.mapInArrow(run, "key long, sid long, n long, data binary")
-
-
-def _stars(jaccard: float, exact: bool):
-    """mapInArrow over rows (key, a, b, sid, n, data) sorted by group: edges (smallest sid, sid) of each group's
-    components. ``data`` is the whole set if ``exact``, else its parities."""
+            data = [folded(np.frombuffer(x, dtype=np.uint64), BINS // 64).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["sid", "n", "data"])
 
-    def sized(n, i, todo):
-        """Whether the sizes allow it."""
-        import numpy as np
-
-        return np.minimum(n[todo], n[i]) >= jaccard * np.maximum(n[todo], n[i]) - 1e-6
-
-    def by_parity(n, data):
-        import numpy as np
+    return classes.select("sid", "n", "sketch").mapInArrow(run, "sid long, n long, data binary")
 
-        bits = np.frombuffer(b"".join(data), dtype=np.uint64).reshape(len(n), -1)
-        share = (1 - jaccard) / (1 + jaccard)
 
-        def near(i, todo):
-            out = sized(n, i, todo)
-            some = todo[out]
-            out[out] = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64) <= share * (n[some] + n[i]) + 1e-6
-            return out
-
-        return near
+def _sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """rows (key, sid, text) -> (key, sid, n, data): the whole set of each text."""
 
-    def by_sets(n, data):
+    def run(batches):
         import numpy as np
+        import pyarrow as pa
 
-        ends = np.cumsum(n)
-        values, ids = np.unique(np.frombuffer(b"".join(data), dtype=np.uint64), return_inverse=True)
-        mark = np.zeros(len(values), dtype=bool)
-
-        def near(i, todo):
-            out = sized(n, i, todo)
-            some = todo[out]
-            own = ids[ends[i] - n[i] : ends[i]]
-            mark[own] = True
-            if len(some) > 64:
-                upto = np.concatenate([[0], np.cumsum(mark[ids])])
-                both = upto[ends[some]] - upto[ends[some] - n[some]]
-            else:
-                both = np.array([np.count_nonzero(mark[ids[ends[j] - n[j] : ends[j]]]) for j in some], dtype=np.int64)
-            mark[own] = False
-            union = n[some] + n[i] - both
-            out[out] = np.where(union == 0, True, both / np.maximum(union, 1) >= jaccard)
-            return out
+        for b in batches:
+            out = []
+            for key, sid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                found = np.unique(shingle_hashes(t.as_py(), shingle, seed))
+                out.append((key, sid, len(found), found.tobytes()))
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["key", "sid", "n", "data"])
 
-        return near
+    return rows.mapInArrow(run, "key long, sid long, n long, data binary")
 
-    def components(sid, n, data):
-        import numpy as np
 
-        near, todo = (by_sets if exact else by_parity)(n, data), np.argsort(sid, kind="stable")
-        while len(todo) > 1:
-            root, frontier, todo = todo[0], [todo[0]], todo[1:]
-            while frontier and len(todo):
-                found = near(frontier.pop(), todo)
-                if found.any():
-                    for j in todo[found]:
-                        yield sid[root], sid[j]
-                    frontier += list(todo[found])
-                    todo = todo[~found]
+def _by_group(of):
+    """mapInArrow over rows (key, a, b, sid, n, data) sorted by group: what ``of`` makes of whole groups, (u, v, dense)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def of(cols, data):
+        def table(cols, data):
             new = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
-            edges = set()
-            for s, e in zip([0, *new], [*new, len(data)]):
-                if e - s > 1:
-                    edges.update(components(cols[3][s:e], cols[4][s:e], data[s:e]))
-            u, v = (np.array(x, dtype=np.int64) for x in (zip(*edges) if edges else ([], [])))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            starts = np.concatenate([[0], new])
+            found = [x for x in of(starts, np.diff(np.concatenate([starts, [len(data)]])), cols[3], cols[4], data) if len(x[0])]
+            u, v, dense = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+            rows = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v), dense.astype(np.int64)], axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(bool))], names=["u", "v", "dense"])
 
         held, held_data = None, []
         for batch in batches:
@@ -184,48 +171,167 @@ def _stars(jaccard: float, exact: bool):
             change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0))
             cut = change[-1] + 1 if len(change) else 0  # the last group may go on in the next batch
             if cut:
-                yield of([c[:cut] for c in cols], data[:cut])
+                yield table([c[:cut] for c in cols], data[:cut])
             held, held_data = [c[cut:] for c in cols], data[cut:]
         if held is not None:
-            yield of(held, held_data)
+            yield table(held, held_data)
 
     return run
 
 
-def _edges(rows: DataFrame, sizes: DataFrame, jaccard: float, exact: bool) -> DataFrame:
-    """Edges (u, v), u < v, in the groups of equal ``key``; rows (key, sid, n, data), sizes (key, tiles)."""
+def _stars(sid, near):
+    """Star edges of one group's components; near(i, others): which of them are linked to i."""
+    import numpy as np
+
+    u, v, todo = [], [], np.argsort(sid, kind="stable")
+    while len(todo) > 1:
+        root, frontier, todo = todo[0], [todo[0]], todo[1:]
+        while frontier and len(todo):
+            found = near(frontier.pop(), todo)
+            if found.any():
+                u.append(np.full(found.sum(), sid[root]))
+                v.append(sid[todo[found]])
+                frontier += list(todo[found])
+                todo = todo[~found]
+    if not u:
+        return (np.zeros(0, np.int64),) * 2
+    return np.concatenate(u), np.concatenate(v)
+
+
+def _candidates(jaccard: float):
+    """Pairs of equal key whose sizes and parities in ``BINS`` bins allow the threshold."""
+
+    def of(starts, sizes, sid, n, data):
+        import numpy as np
+
+        bits = np.frombuffer(b"".join(data), dtype=np.uint64).reshape(len(sid), -1)
+
+        def fits(i, j):
+            out = np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-6
+            a, b = np.broadcast_arrays(i, j)
+            a, b = a[out], b[out]
+            out[out] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= allowed(jaccard, n[a] + n[b])
+            return out
+
+        ends = np.repeat(starts + sizes, sizes)
+        at, step = np.flatnonzero(np.repeat(sizes <= SMALL, sizes)), 1
+        while len(at := at[at + step < ends[at]]):  # all pairs of the small groups at one distance
+            ok = at[fits(at, at + step)]
+            yield sid[ok], sid[ok + step], np.zeros(len(ok), dtype=bool)
+            step += 1
+        for s, m in zip(starts[sizes > SMALL], sizes[sizes > SMALL]):
+            u, v, found = [], [], 0
+            for i in range(s, s + m - 1):
+                others = np.arange(i + 1, s + m)
+                others = others[fits(i, others)]
+                u.append(np.full(len(others), sid[i]))
+                v.append(sid[others])
+                found += len(others)
+                if found > DENSE * m:
+                    break
+            dense = found > DENSE * m
+            if dense:
+                u, v = ([x] for x in _stars(sid[s : s + m], lambda i, todo: fits(s + i, s + todo)))
+            u, v = np.concatenate(u), np.concatenate(v)
+            yield u, v, np.full(len(u), dense)
+
+    return of
+
+
+def _similar(jaccard: float):
+    """Star edges of each group's components of exactly similar sets; data: whole sets."""
+
+    def of(starts, sizes, sid, n, data):
+        import numpy as np
+
+        for s, m in zip(starts, sizes):
+            if m < 2:
+                continue
+            own, count = data[s : s + m], n[s : s + m]
+            bins = bins_for(int(count.max()))
+            bits = np.stack([parities(np.frombuffer(x, dtype=np.uint64), bins) for x in own])
+            ends = np.cumsum(count)
+            values, ids = np.unique(np.frombuffer(b"".join(own), dtype=np.uint64), return_inverse=True)
+            mark = np.zeros(len(values), dtype=bool)
+
+            def near(i, todo):
+                out = np.minimum(count[todo], count[i]) >= jaccard * np.maximum(count[todo], count[i]) - 1e-6
+                some = todo[out]
+                out[out] = np.bitwise_count(bits[some] ^ bits[i]).sum(axis=1, dtype=np.int64) <= allowed(jaccard, count[some] + count[i])
+                some = todo[out]
+                if len(some):
+                    mine = ids[ends[i] - count[i] : ends[i]]
+                    mark[mine] = True
+                    both = np.array([np.count_nonzero(mark[ids[ends[j] - count[j] : ends[j]]]) for j in some], dtype=np.int64)
+                    mark[mine] = False
+                    union = count[some] + count[i] - both
+                    out[out] = np.where(union == 0, True, both / np.maximum(union, 1) >= jaccard)
+                return out
+
+            u, v = _stars(sid[s : s + m], near)
+            yield u, v, np.zeros(len(u), dtype=bool)
+
+    return of
+
+
+def _edges(rows: DataFrame, sizes: DataFrame, of) -> DataFrame:
+    """Edges (u, v, dense), u < v, in the groups of equal ``key``; rows (key, sid, n, data), sizes (key, tiles)."""
     mine = F.when(F.col("tiles") > 1, F.pmod(F.xxhash64("sid"), F.col("tiles"))).otherwise(0).cast("int")
     groups = (
         rows.join(sizes, "key")
         .select("key", "sid", "n", "data", mine.alias("t"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
         .select("key", F.least("t", "o").cast("long").alias("a"), F.greatest("t", "o").cast("long").alias("b"), "sid", "n", "data")
     )
-    found = groups.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_stars(jaccard, exact), "u long, v long")
+    found = groups.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(_by_group(of), "u long, v long, dense boolean")
     return found.where("u <> v").distinct()
 
 
+def _by_sketch(pairs: DataFrame, classes: DataFrame, jaccard: float) -> DataFrame:
+    """The pairs (u, v) whose parities in as many bins as the sets are large allow the threshold."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            keep = []
+            for n, m, x, y in zip(*(b.column(i).to_pylist() for i in range(2, 6))):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum(dtype=np.int64)) <= allowed(jaccard, n + m))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    one = classes.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+    two = classes.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
+
+
 def labelled(docs: DataFrame, shingle: int, jaccard: float, tile: int, seed: int, components, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, sid, component_id) of every row; ``components`` labels the vertices of edges (u, v)."""
+    """(doc_id, text_hash, fp, sid, component_id, kept) of every row; kept: the (doc_id, text_hash) of the component's smallest
+    row. ``components`` labels the vertices of edges (u, v)."""
     rows = materialise(described(docs, shingle, jaccard, seed, id_col, text_col), "sets")
     named = rows.where("doc_id is not null")
-    whole = named.groupBy("sid").agg(F.first("prefix").alias("prefix"))
-    classes = materialise(named.groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("bits").alias("data")), "classes")
+    first = F.struct("doc_id", "text_hash")
+    classes = materialise(named.groupBy("sid").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
 
-    keys = whole.select(F.explode("prefix").alias("key"), "sid")
+    keys = classes.select(F.explode("prefix").alias("key"), "sid")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     lists = materialise(keys.join(shared, "key"), "lists")
     sizes = lists.groupBy("key").agg(F.ceil(F.max("members") / F.lit(tile)).cast("int").alias("tiles"))
-    candidates = _edges(lists.select("key", "sid").join(classes.select("sid", "n", "data"), "sid").select("key", "sid", "n", "data"), sizes, jaccard, False)
+    listed = lists.select("key", "sid").join(_small_sketch(classes), "sid").select("key", "sid", "n", "data")
+    found = materialise(_edges(listed, sizes, _candidates(jaccard)), "candidates")
+    candidates = _by_sketch(found.where("not dense"), classes, jaccard).unionByName(found.where("dense").select("u", "v"))
 
     chosen = classes.select("sid", "first", "n").join(components(candidates).select(F.col("v").alias("sid"), F.col("root").alias("key")), "sid")
-    chosen = materialise(chosen, "candidates")
+    chosen = materialise(chosen.select("sid", F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("text_hash"), "n", "key"), "chosen")
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") * 8 / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
     sizes = chosen.groupBy("key").agg(tiles.alias("tiles"))
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), F.col(text_col).alias("text")).join(chosen.select("first", "sid", "key"), "first")
-    edges = _edges(_sets(texts.select("key", "sid", "text"), shingle, seed), sizes, jaccard, True)
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = texts.join(chosen.select("first", "text_hash", "sid", "key"), ["first", "text_hash"])
+    edges = _edges(_sets(texts.select("key", "sid", "text"), shingle, seed), sizes, _similar(jaccard)).select("u", "v")
 
     roots = components(edges).select(F.col("v").alias("sid"), "root")
     rooted = classes.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = materialise(rooted, "rooted")
-    labels = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
-    return rows.select("doc_id", "fp", "sid").join(labels, "sid", "left")
+    labels = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("kept")), "root").select("sid", F.col("kept.doc_id").alias("component_id"), "kept")
+    return rows.select("doc_id", "text_hash", "fp", "sid").join(labels, "sid", "left")

@@ -258,14 +258,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     return prints.join(labels, by).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) but those near-duplicate to a smaller id. Of rows
-    with one id, one stays; rows without an id stay all."""
-    labels = near_duplicates(docs, **params)
-    losers = materialise(labels.where("doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    repeated = materialise(labels.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(losers, "doc_id", "left_anti")
-    if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, tile: int = 4096) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) but those near-duplicate to a row of a smaller id. Rows, not ids, are kept:
+    two texts of one id that are not near-duplicates both stay, and of equal rows one does; rows without an id stay all."""
+    labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, "doc_id", "text").where("doc_id is not null")
+    rows = labels.groupBy(F.col("doc_id").alias("__id"), "text_hash").agg(F.count("*").alias("__n"), F.bool_or((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.text_hash") != F.col("text_hash"))).alias("__lost"))
+    touched = materialise(rows.where("__lost or __n > 1").withColumnRenamed("text_hash", "__hash"), "duplicates")
+    names = docs.columns
+    numbered = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col("doc_id").cast("long").alias("__row"), exact.text_hash("text").alias("__text"))
+    same = (F.col("__row") == F.col("__id")) & (F.col("__text") == F.col("__hash"))
+    kept = numbered.join(touched.where("__lost"), same, "left_anti")
+    repeated = touched.where("not __lost")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same, "left_semi").dropDuplicates(["__row", "__text"])
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
