@@ -18,7 +18,7 @@ from .shared import materialise
 
 BINS = 512
 TILE_BYTES = 16 << 20
-SMALL, DENSE = 32, 16
+SMALL, DENSE = 16, 4
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int):

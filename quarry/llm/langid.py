@@ -7,10 +7,11 @@ mark in front). Probabilities are learned by expectation-maximisation over the w
 labelled sample: at most ``max_docs`` documents of each language, those with the smallest hashed ids. Letters that
 no piece covers have one small probability in all languages. Words are computed in batches of
 equal lengths, once per worker while its cache of ``cache`` words holds them; words longer than
-``MAX_WORD`` are taken in parts. Whole texts are scored, in one pass without a shuffle.
+``LONG`` letters one by one in logarithms, with the sums of as many letters as the longest piece has in memory.
+No word is cut and no piece of letters is left out. Whole texts are scored, in one pass without a shuffle.
 
 Defined cases: null text and text without a letter are ``und`` with score 1; without training
-documents every text is ``und`` with score 0; rows without language or id are not learned
+documents every other text is ``und`` with score 0; rows without language or id are not learned
 from; equal rows are scored one by one; ties go to the first language by name; an
 empty table gives no rows; other columns are ignored.
 """
@@ -25,7 +26,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .shared import malloc_trim
 
-UNKNOWN, MAX_WORD, MAX_PIECE, MARK = 1e-9, 28, 10, "▁"
+UNKNOWN, MARK = 1e-9, "▁"
+LONG = 28  # 1e-9 to this power is still a double above 0
+SLICE = 1 << 16  # letters of a long word at once
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
 PRIME = 0x100000001B3
@@ -50,7 +53,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and (p == MARK or p.lstrip(MARK).isalpha()) and p.count(MARK) <= 1)
+    return sorted(p for p in pieces if p and (p == MARK or p.lstrip(MARK).isalpha()) and p.count(MARK) <= 1)
 
 
 class Pieces:
@@ -63,13 +66,14 @@ class Pieces:
         h = np.array([int(_hash(codes(p))[0]) for p in pieces], dtype=np.uint64)
         self.order = np.argsort(h)
         self.hashes = h[self.order]
+        self.longest = max(map(len, pieces), default=1)
 
     def lattice(self, words: list[str]):
         """words of one length m (mark included) -> (word, end, length - 1): piece number; -1: none; the
         single letters without a piece are -2."""
         import numpy as np
 
-        m, top = len(words[0]), min(MAX_PIECE, len(words[0]))
+        m, top = len(words[0]), min(self.longest, len(words[0]))
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(words), m).astype(np.uint64)
         out = np.full((len(words), m, top), -1, dtype=np.int32)
         h = np.zeros_like(codes)
@@ -100,8 +104,38 @@ def padded(p):
     return np.concatenate([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
 
 
-def parts(word: str) -> list[str]:
-    return [MARK + word[:MAX_WORD]] + [word[i : i + MAX_WORD] for i in range(MAX_WORD, len(word), MAX_WORD)]
+def log_forward(finder: Pieces, word: str, logs, every: bool = False):
+    """log of the forward sum of one word of any length; with ``every``, of the sums up to each place.
+    logs: logarithms of padded probabilities."""
+    import numpy as np
+
+    top, langs = finder.longest, logs.shape[1]
+    recent, out = [np.zeros(langs)], [np.zeros(langs)]
+    for at in range(0, len(word), SLICE):
+        start = max(0, at - top + 1)
+        ids = finder.lattice([word[start : at + SLICE]])[0]
+        for row in ids[at - start :]:
+            k = min(len(recent), len(row))
+            recent = [np.logaddexp.reduce([a + logs[i] for a, i in zip(recent, row[:k])]), *recent[: top - 1]]
+            if every:
+                out.append(recent[0])
+    return np.array(out) if every else recent[0]
+
+
+def _expected_long(finder: Pieces, word: str, logs, weight, expected) -> None:
+    """Adds to ``expected`` what the pieces of a long word are expected to count, ``weight`` times by language."""
+    import numpy as np
+
+    alpha, lattice = log_forward(finder, word, logs, every=True), finder.lattice([word])[0]
+    beta = np.full_like(alpha, -np.inf)
+    beta[-1] = 0
+    for j in range(len(word), 0, -1):
+        for k in range(1, min(j, lattice.shape[1]) + 1):
+            i = lattice[j - 1, k - 1]
+            flow = logs[i] + beta[j]
+            beta[j - k] = np.logaddexp(beta[j - k], flow)
+            if i >= 0:
+                expected[i] += weight * np.exp(alpha[j - k] + flow - alpha[-1])
 
 
 def by_length(words) -> dict[int, list[str]]:
@@ -116,16 +150,14 @@ def learn(counts: list[Counter], pieces: list[str], rounds: int = 3, smooth: flo
     import numpy as np
 
     finder, n, langs = Pieces(pieces), len(pieces), len(counts)
-    total = [Counter() for _ in counts]
-    for t, c in zip(total, counts):
-        for w, k in c.items():
-            for x in parts(w):
-                t[x] += k
-    lattices = []
-    for words in by_length(sorted(set().union(*total))).values():
+    lattices, long = [], []
+    for words in by_length(sorted({MARK + w for c in counts for w in c})).values():
+        weights = np.array([[c[w[1:]] for c in counts] for w in words], dtype=np.float64)
+        if len(words[0]) > LONG:
+            long += zip(words, weights)
+            continue
         for at in range(0, len(words), 20000):
-            some = words[at : at + 20000]
-            lattices.append((finder.lattice(some), np.array([[t[w] for t in total] for w in some], dtype=np.float64)))
+            lattices.append((finder.lattice(words[at : at + 20000]), weights[at : at + 20000]))
     p = np.full((n, langs), 1 / max(1, n))
     for _ in range(rounds):
         expected = np.zeros((n + 2, langs))
@@ -144,6 +176,10 @@ def learn(counts: list[Counter], pieces: list[str], rounds: int = 3, smooth: flo
                     use = ids >= 0
                     for g in range(langs):
                         expected[:, g] += np.bincount(ids[use], weights=got[use, g], minlength=n + 2)
+        with np.errstate(divide="ignore"):
+            logs = np.log(full)
+        for word, weight in long:
+            _expected_long(finder, word, logs, weight, expected)
         p = expected[:n] + smooth
         p /= p.sum(axis=0)
     return p
@@ -156,30 +192,29 @@ class Scorer:
         import numpy as np
 
         self.finder, self.p, self.cache = Pieces(pieces), padded(p), cache
+        with np.errstate(divide="ignore"):
+            self.log_p = np.log(self.p)
         self.known: dict[str, int] = {}
+        self.letters = 0
         self.logs = np.zeros((0, p.shape[1]))
 
     def add(self, words: set[str]) -> None:
         import numpy as np
 
         missing = words.difference(self.known)
-        if missing and len(self.known) + len(missing) > self.cache:
-            self.known, self.logs, missing = {}, self.logs[:0], words
-        words = sorted(missing)
-        if not words:
-            return
-        pieces = [parts(w) for w in words]
-        place: dict[str, int] = {}
+        if missing and (len(self.known) + len(missing) > self.cache or self.letters > 100 * self.cache):
+            self.known, self.letters, self.logs, missing = {}, 0, self.logs[:0], words
         logs = []
-        for same in by_length({x for ps in pieces for x in ps}).values():
-            for at in range(0, len(same), 8192):
-                some = same[at : at + 8192]
-                place.update(zip(some, range(len(place), len(place) + len(some))))
-                logs.append(np.log(np.maximum(forward(self.finder.lattice(some), self.p)[-1], 1e-300)))
-        flat = np.concatenate(logs)[np.fromiter((place[x] for ps in pieces for x in ps), dtype=np.int64)]
-        sizes = np.array([len(ps) for ps in pieces])
-        self.known.update(zip(words, range(len(self.logs), len(self.logs) + len(words))))
-        self.logs = np.concatenate([self.logs, np.add.reduceat(flat, np.cumsum(sizes) - sizes)])
+        for same in by_length(sorted(missing)).values():
+            if len(same[0]) >= LONG:
+                logs += [log_forward(self.finder, MARK + w, self.log_p)[None] for w in same]
+            else:
+                for at in range(0, len(same), 8192):
+                    logs.append(np.log(forward(self.finder.lattice([MARK + w for w in same[at : at + 8192]]), self.p)[-1]))
+            self.known.update(zip(same, range(len(self.known), len(self.known) + len(same))))
+            self.letters += len(same) * len(same[0])
+        if logs:
+            self.logs = np.concatenate([self.logs, *logs])
 
     def texts(self, many: list[list[str]]):
         """Summed log-probabilities of each text's words, all languages; the words that are not known are
@@ -280,8 +315,10 @@ def identify(docs: DataFrame, vocab: str, folds: int = 4, rest: int = 2) -> Data
     return predict(rows, *model).select("doc_id", held_out(folds, rest).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, vocab: str) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, lang, ...) in which a language is found."""
+def keep_identified(docs: DataFrame, vocab: str, min_score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, ...) with a letter in which one language has a posterior of at least
+    ``min_score``; where no row says its language, all rows with a letter."""
     renamed = docs.select(*[F.col(c).alias(f"__{i}" if c in ("lang_pred", "score") else c) for i, c in enumerate(docs.columns)])
-    kept = predict(renamed, *train(docs, vocab, F.lit(True))).where(F.col("lang_pred") != UND)
+    langs, pieces, p = train(docs, vocab, F.lit(True))
+    kept = predict(renamed, langs, pieces, p).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score) if langs else F.col("score") < 1)
     return kept.select(*[F.col(r).alias(c) for r, c in zip(renamed.columns, docs.columns)])

@@ -403,6 +403,68 @@ def test_forward_sums_all_segmentations():
     assert langid.forward(finder.lattice(["▁az"]), langid.padded(p))[-1][0][0] == pytest.approx((p[0, 0] * p[2, 0] + p[1, 0]) * langid.UNKNOWN)
 
 
+def all_segmentations(word, prob):
+    """(probability, pieces) of each."""
+    if not word:
+        yield 1.0, ()
+    for k in range(1, len(word) + 1):
+        if (q := prob.get(word[:k], 1e-9 if k == 1 else 0)) > 0:
+            for r, rest in all_segmentations(word[k:], prob):
+                yield q * r, (word[:k], *rest)
+
+
+def test_long_words_and_pieces_are_whole():
+    vocab = langid.vocabulary(queries.piece_vocabulary())
+    assert max(map(len, vocab)) > 10
+    p = np.full((len(vocab), 1), 1 / len(vocab))
+    for word in ("donaudampfschifffahrtsgesellschaft", "internationalisation" * 3, "x" * 70000):
+        full = langid.MARK + word
+        place, a, log = {x: 1 for x in vocab}, [1.0], 0.0
+        top = max(map(len, vocab))
+        for j in range(1, len(full) + 1):  # scaled sums in plain Python
+            s = sum(a[-k] * (1 / len(vocab) if full[j - k : j] in place else 1e-9 if k == 1 else 0) for k in range(1, min(len(a), top) + 1))
+            log, a = log + math.log(s), [x / s for x in a[-top:]] + [1.0]
+        got = langid.Scorer(vocab, p, 100).texts([[word]])[0, 0]
+        assert got == pytest.approx(log, rel=1e-9)
+
+
+def test_language_learning_and_posterior_against_brute_force(spark, monkeypatch):
+    """One round of EM, scores and labels from enumerated segmentations; long words take the other path to the same numbers."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "bab", "▁ba"]
+    texts = {"x": ["abab ba", "aba a"], "y": ["bab b", "bbabc bb"]}
+    counts = [collections.Counter(w for t in texts[g] for w in langid.letters(t)) for g in "xy"]
+    prob = [dict.fromkeys(pieces, 1 / len(pieces)) for _ in "xy"]
+    for _ in range(2):
+        for g in (0, 1):
+            seen = collections.Counter()
+            for w, n in counts[g].items():
+                every = list(all_segmentations("▁" + w, prob[g]))
+                for q, seg in every:
+                    for x in seg:
+                        seen[x] += n * q / sum(e[0] for e in every)
+            total = sum(seen[x] + 0.05 for x in pieces)
+            prob[g] = {x: (seen[x] + 0.05) / total for x in pieces}
+    want = np.array([[prob[g][x] for g in (0, 1)] for x in pieces])
+    np.testing.assert_allclose(langid.learn(counts, pieces, rounds=2), want, rtol=1e-9)
+    monkeypatch.setattr(langid, "LONG", 2)
+    np.testing.assert_allclose(langid.learn(counts, pieces, rounds=2), want, rtol=1e-9)
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["ab abab", "bb c", "", None, "1 2"])], "doc_id long, text string")
+    for r in langid.predict(rows, ["x", "y"], pieces, want).collect():
+        words_ = langid.letters(r["text"] or "")
+        logs = [sum(math.log(sum(q for q, _ in all_segmentations("▁" + w, prob[g]))) for w in words_) for g in (0, 1)]
+        if not words_:
+            assert (r["lang_pred"], r["score"]) == ("und", 1)
+        else:
+            assert r["lang_pred"] == "xy"[logs[1] > logs[0]] and r["score"] == pytest.approx(1 / (1 + math.exp(-abs(logs[0] - logs[1]))))
+
+
+def test_rejected_documents(spark):
+    rows = docs(spark, [(1, "the house and the garden"), (2, "12 34"), (3, None)])
+    assert {r["doc_id"] for r in langid.keep_identified(rows, queries.piece_vocabulary()).collect()} == {1}
+    assert {r["doc_id"] for r in langid.keep_identified(rows.withColumn("lang", F.lit(None).cast("string")), queries.piece_vocabulary()).collect()} == {1}
+
+
 def test_language_edges(spark):
     vocab = queries.piece_vocabulary()
     rnd = random.Random(1)
