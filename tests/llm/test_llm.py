@@ -355,6 +355,41 @@ def test_toxicity_held_out(spark):
     assert got[1000]["score"] == got[1001]["score"] < 0.5
 
 
+def test_toxicity_against_brute_force():
+    """Ratios and scores from n-gram strings; the weights' loss has no slope, and the penalty is the best of the inner fold."""
+    rnd = random.Random(9)
+    texts = [words(rnd, 20) + (" vile vilest" if k % 3 == 0 else "") for k in range(30)] + ["", "Ä ß"]
+    y = np.array([int(k % 3 == 0) for k in range(30)] + [0, 1])
+
+    def values(t):
+        t = f" {t.lower()} "
+        n = collections.Counter(t[i : i + o] for o in toxicity.ORDERS for i in range(len(t) - o + 1))
+        return {g: math.log1p(1000 * c / len(t)) for g, c in n.items()}
+
+    seen = [values(t) for t in texts]
+    df = collections.Counter(g for v in seen for g in v)
+    ratio = {g: math.log((1 + sum(v.get(g, 0) for v, b in zip(seen, y) if b)) / (y.sum() + 2)) - math.log((1 + sum(v.get(g, 0) for v, b in zip(seen, y) if not b)) / (len(y) - y.sum() + 2)) for g in df if df[g] > 1}
+    for penalty in (1e-2, 1e-4):
+        m = toxicity.fit(texts, list(y), penalties=(penalty,))
+        assert len(m.features) == sum(r != 0 for r in ratio.values())
+        np.testing.assert_allclose(sorted(m.ratios), sorted(ratio.values()), rtol=1e-4, atol=1e-5)
+        place = {}
+        for g in ratio:  # the padded text " g " holds g at its second place
+            places = {o: f for o, (_, f) in zip(toxicity.ORDERS, toxicity.grams([g], 22))}
+            place[g] = int(np.searchsorted(m.features, places[len(g)][1]))
+            assert m.features[place[g]] == places[len(g)][1] and m.ratios[place[g]] == pytest.approx(ratio[g], rel=1e-4, abs=1e-5)
+        x = np.zeros((len(texts), len(m.features)))
+        for k, v in enumerate(seen):
+            for g, a in v.items():
+                if g in ratio:
+                    x[k, place[g]] = a * ratio[g]
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-15)
+        p = 1 / (1 + np.exp(-(x @ m.weights + m.intercept)))
+        np.testing.assert_allclose(m.scorer()(texts), p, atol=1e-4)
+        assert np.abs(x.T @ (p - y) / len(y) + penalty * m.weights).max() < 1e-2 and abs((p - y).mean()) < 1e-2
+    assert toxicity.fit([], []).scorer()([""])[0] < 1e-200 and toxicity.fit(["a"], [1]).scorer()([""])[0] == 1
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_documents(docs(spark, [(1, "a")]), none).first()["predicted"] == 0
