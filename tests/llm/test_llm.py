@@ -3,10 +3,12 @@
 import collections
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -543,6 +545,76 @@ def test_style_tree_removes_what_repeats(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content has-sidebar"><p>Real text</p></div>', "Real text"),
+    ('<article class="social-policy"><p>a</p><div id="related-work">b</div><table><tr><td class="notice">c</table><button>d</button> <math>x</math></article>', "a\nb\nc\nd x"),
+    ('<div class="content with-sidebar"><article>x</article><p>beside</p></div>', "x"),
+    ("<div id=comments><article class=comment>no</article></div><p>yes</p>", "yes"),
+    ("<form id=aspnet><nav>n</nav><article>x</article></form>", "x"),
+    ("<nav><article>no</article></nav><p>yes</p>", "yes"),
+])
+def test_names_are_no_verdict_on_the_main_text(page, want):
+    assert html_extract.main_text(page) == want
+
+
+def test_html_time_is_linear():
+    for piece in ("<div>", '<a href="', "<li>", "<!--", "<script>", "a < b ", "<p class='x y'>t ", "</i><b>", '<a b="x>'):
+        seconds = []
+        for n in (100_000, 200_000):
+            page = piece * (n // len(piece))
+            began = time.perf_counter()
+            html_extract.main_text(page + "'>")
+            seconds.append(time.perf_counter() - began)
+        assert seconds[1] < 2 + 4 * seconds[0], piece
+
+
+def test_importances_and_low_branches_against_brute_force(spark):
+    """Entropies of a small site, from the element ways that a strict page has; removing the tree's verdicts brings menus back."""
+    rnd = random.Random(17)
+    rows = []
+    for i in range(60):
+        menu = "".join(f"<li><a href=/>{rnd.choice('abcdef')}</a></li>" for _ in range(3))
+        story = "".join(f"<p>{'same' if rnd.random() < 0.2 else words(rnd, 5)}</p>" for _ in range(rnd.randrange(1, 4)))
+        rows.append((i, f"http://h{i % 2}/", f"<body><ul>{menu}</ul><div class=top>{'hi' if rnd.random() < 0.9 else words(rnd, 2)}</div><div class=story>{story}</div></body>"))
+    seen = collections.defaultdict(collections.Counter)  # (host, way, kind) -> values
+    for _, url, page in rows:
+        host, texts, looks, way = url[7:-1], [], collections.defaultdict(list), []
+        for tag, name, text in re.findall(r"<(/?\w+)(?: class=(\w+)| href=/)?>([^<]*)", page):
+            if tag[0] == "/":
+                way.pop()
+                continue
+            looks[tuple(x for x in way if x != "a")].append(f"{tag}.{name}" if name else tag)
+            way.append(f"{tag}.{name}" if name else tag)
+            if text:
+                texts.append((tuple(x for x in way if x != "a"), "links" if tag == "a" else text))
+        for w, text in texts:
+            seen[host, w, 1][text] += 1
+        for w in {w for w, _ in texts}:
+            seen[host, w, 0][" ".join(f"{k}*{len(list(g))}" for k, g in itertools.groupby(looks[w]))] += 1
+
+    def entropy(c):
+        m = sum(c.values())
+        return -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m) if m > 1 else 1.0
+
+    want = collections.defaultdict(float)
+    for (host, way, _), c in seen.items():
+        want[host, way] = max(want[host, way], entropy(c))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html_extract.importances(df).collect()
+    np.testing.assert_allclose(sorted((r["importance"] for r in got)), sorted(want.values()), atol=1e-9)
+    low = html_extract.low_branches(df).count()
+    assert low == sum(x <= 0.5 for x in want.values()) > 0
+    text = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
+    for i, url, page in rows:
+        keep = [t for t in re.findall(r"<(p|div class=top)>([^<]*)", page) if want[url[7:-1], ("body", "div.story", "p") if t[0] == "p" else ("body", "div.top")] > 0.5]
+        assert text[i] == "\n".join([t for _, t in keep] or [t for t in re.findall(r">([^<]+)", page)])
+    tables = queries.read(spark, SF, "pages")
+    assert html_extract.low_branches(tables).count() > 0
+    ways = {(r["page_id"], r["text"]) for r in html_extract.extract(tables).collect()}
+    assert not ways & {(r["page_id"], r["text"]) for r in html_extract.extract(tables, min_importance=-1.0).collect()}
+    assert ways == {(r["page_id"], r["text"]) for r in html_extract.extract(tables, broadcast_rows=0).collect()}
+
+
 def test_repeated_page_keeps_its_text(spark):
     page = "<nav>menu</nav><div class=top>Hello</div><p>one text</p>"
     got = html_extract.extract(spark.createDataFrame([(k, "http://h.example/", page) for k in range(20)], "page_id long, url string, html string")).collect()
