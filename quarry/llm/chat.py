@@ -2,9 +2,10 @@
 
 A conversation's turns, in order, run through a finite-state machine over roles; each turn
 becomes three text segments (opening, text, closing), and a flag on each segment says whether
-the loss counts it. Inside texts and roles the characters that markers begin with are
-escaped: the escape character becomes ``\\b``, ``<`` becomes ``\\l`` and, in roles, ``>`` becomes
-``\\g``. So an unescaped ``<`` is always a marker, and the texts can be read back.
+the loss counts it. Inside texts and roles the characters that the template's markers begin with are
+escaped, each by a backslash and a letter (for the template here ``\\`` becomes ``\\b``, ``<`` becomes ``\\l`` and, in roles,
+``>`` becomes ``\\g``). So no marker begins inside a text, and the texts can be read back. A template whose
+fixed parts could be taken for, or run into, its closing is refused.
 
 One conversation is one output row, so its turns meet in one task; conversations are
 spread over tasks by hash.
@@ -39,18 +40,47 @@ class Template:
         }
     )
 
+    def __post_init__(self):
+        if self.opening.count("{role}") != 1 or not self.closing or not self.parts[1]:
+            raise ValueError("a template needs one {role}, some text after it, and a closing")
+        before, after = self.parts
+        if (before + after + self.closing).find(self.closing) < len(before + after) or self.closing in before or self.closing in after:
+            raise ValueError(f"{self.opening!r} may be read as the closing {self.closing!r}")
+
+    @property
+    def parts(self) -> tuple[str, str]:
+        before, after = self.opening.split("{role}")
+        return before, after
+
+    def codes(self, role: bool) -> list[tuple[str, str]]:
+        """(character, what stands for it), in the order of replacing."""
+        before, after = self.parts
+
+        def goes_on(fixed: str) -> list[str]:
+            """What would make the closing's beginning at the end of ``fixed`` go on."""
+            return [self.closing[n] for n in range(1, len(self.closing)) if fixed.endswith(self.closing[:n])]
+
+        of_text = ["\\", self.closing[0], *before[:1], *goes_on(before + after)]
+        of_role = ["\\", self.closing[0], *before[:1], after[0], *goes_on(before)]
+        first = list(dict.fromkeys([*of_text[:2], after[0], *of_text, *of_role]))
+        letters = [c for c in "blgmnopqrstuvwxyzBLGMNOPQ" if c not in first]
+        found = dict(zip(first, ("\\" + c for c in letters)))
+        return [(c, to) for c, to in found.items() if c in (of_role if role else of_text)]
+
 
 CHAT = Template()
 
 
-def escape(text: Column, role: bool = False) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l"))
-    return F.replace(out, F.lit(">"), F.lit("\\g")) if role else out
+def escape(text: Column, role: bool = False, template: Template = CHAT) -> Column:
+    for char, code in template.codes(role):
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return text
 
 
-def unescape(text: Column) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\g"), F.lit(">")), F.lit("\\l"), F.lit("<"))
-    return F.replace(out, F.lit("\\b"), F.lit("\\"))
+def unescape(text: Column, role: bool = False, template: Template = CHAT) -> Column:
+    for char, code in reversed(template.codes(role)):
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
 
 
 def state_after(turns: Column, template: Template) -> Column:
@@ -61,7 +91,7 @@ def state_after(turns: Column, template: Template) -> Column:
 
 def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFrame:
     """conv_id, segments (text, loss), formatted, valid."""
-    before, after = template.opening.split("{role}")
+    before, after = template.parts
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
 
@@ -70,8 +100,8 @@ def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFram
 
     def three(t: Column) -> Column:
         return F.array(
-            segment(F.concat(F.lit(before), escape(t["role"], True), F.lit(after)), F.lit(False)),
-            segment(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+            segment(F.concat(F.lit(before), escape(t["role"], True, template), F.lit(after)), F.lit(False)),
+            segment(escape(t["text"], False, template), t["role"].isin(*template.loss_roles)),
             segment(F.lit(template.closing), F.lit(False)),
         )
 
@@ -81,21 +111,23 @@ def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFram
 
 def read_back(formatted: Column, template: Template = CHAT) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    before, after = template.opening.split("{role}")
-    parts = F.slice(F.split(formatted, template.closing), F.lit(1), F.size(F.split(formatted, template.closing)) - 1)
+    before, after = template.parts
+    literally = "".join(f"\\x{{{ord(c):X}}}" for c in template.closing)
+    parts = F.split(formatted, literally, -1)
+    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
     head = len(before) + 1
 
     def turn(part: Column) -> Column:
-        end = F.instr(part, after)
+        end = F.locate(after, part, head)
         role = F.substring(part, F.lit(head), end - head)
-        return F.struct(unescape(role).alias("role"), unescape(F.substring(part, end + len(after), F.length(part))).alias("text"))
+        return F.struct(unescape(role, True, template).alias("role"), unescape(F.substring(part, end + len(after), F.length(part)), False, template).alias("text"))
 
     return F.transform(parts, turn)
 
 
 def digest(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
     """What is read back from format_conversations(): counts and SHA-256 of turns and loss text."""
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], False, template)), "")
     got = formatted.select("conv_id", "valid", "formatted", read_back(F.col("formatted"), template).alias("turns"), loss.alias("loss_text"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return got.select(

@@ -15,8 +15,7 @@ for each document goes the same way, so the rows grouped by document at the end
 markers and the hits, not the texts.
 
 Defined cases: null text has no words; items without words or without an id take no part,
-and rows of one item_id are one item; equal document rows give one row, rows with one doc_id
-but other texts one row each; an empty benchmark hits nothing; an empty table gives no rows;
+and rows of one item_id are one item; each document row gives one row, also where ids or whole rows repeat; an empty benchmark hits nothing; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -89,8 +88,8 @@ def fingerprints(rows: DataFrame, span: int, short: list[int], marker: bool) ->
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 8, min_items: int = 2, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_hash, n_words, n_hit (words inside shared windows), items (sorted ids as
-    text), windows (start, length), contaminated (at least ``min_items`` items)."""
+    """One row per distinct document (id and text): doc_id, text_hash, n_rows, n_words, n_hit (words inside shared windows), items
+    (sorted ids as text), windows (start, length), contaminated (at least ``min_items`` items)."""
     k = span // 2
 
     def hashed(text: Column) -> Column:
@@ -124,10 +123,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 8, min_item
     window = lambda start, n: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
     extended = F.transform(F.filter(F.sequence(F.lit(0), F.lit(span - k)), same), lambda o: window(F.col("p") - o, F.lit(span)))
     whole = F.when(F.col("near") == F.col("t_near"), F.array(window(F.col("p"), F.col("kind")))).otherwise(F.array().cast("array<struct<start:int,n:int>>"))
-    found = hits.select("doc_id", "text_hash", "n_words", "item_id", F.explode_outer(F.when(F.col("p") >= 0, F.when(F.col("kind") == 0, extended).otherwise(whole))).alias("window"))
+    found = hits.select("doc_id", "text_hash", "n_words", "item_id", (F.col("p") < 0).alias("is_row"), F.explode_outer(F.when(F.col("p") >= 0, F.when(F.col("kind") == 0, extended).otherwise(whole))).alias("window"))
     found = found.withColumn("item_id", F.when(F.col("window").isNotNull(), F.col("item_id").cast("string")))
 
-    per_doc = found.groupBy("doc_id", "text_hash", "n_words").agg(F.array_sort(F.collect_set("window")).alias("windows"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    per_doc = found.groupBy("doc_id", "text_hash", "n_words").agg(F.count_if("is_row").alias("n_rows"), F.array_sort(F.collect_set("window")).alias("windows"), F.array_sort(F.collect_set("item_id")).alias("items"))
     start = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n"))
 
     def cover(acc: Column, x: Column) -> Column:
@@ -135,11 +134,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 8, min_item
         return F.struct(F.greatest(acc["upto"], stop).alias("upto"), (acc["n"] + F.greatest(F.lit(0), stop - F.greatest(acc["upto"], x["start"]))).alias("n"))
 
     n_hit = F.aggregate("windows", start, cover, lambda acc: acc["n"])
-    return per_doc.select("doc_id", "text_hash", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), "items", "windows", (F.size("items") >= min_items).alias("contaminated"))
+    return per_doc.select("doc_id", "text_hash", "n_rows", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"), "items", "windows", (F.size("items") >= min_items).alias("contaminated"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    return contamination(docs, benchmark, **params).select(
+    found = contamination(docs, benchmark, **params)
+    return found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("n_rows")))).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated"
     )
 

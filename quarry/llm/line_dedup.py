@@ -13,7 +13,8 @@ document meets the numbers of its removed lines. A hot line is aggregated before
 
 Defined cases: null text stays null and has no lines; blank lines are never removed; a null
 source is no site; equal rows are changed in the same way; a null id is an id like any
-other; an empty table gives no rows; other columns are kept as they are.
+other; an empty table gives no rows; other columns are kept as they are, but columns named like the two
+counts give way to them.
 """
 
 from __future__ import annotations
@@ -58,11 +59,12 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 5, id_col: str = "doc_i
     boiler = boilerplate(lines, min_sites)
     here = F.struct("id", "k", "pos")
     removed = lines.join(boiler, "line").where(~here.eqNullSafe(F.col("first"))).groupBy(F.col("k").alias("__k")).agg(F.collect_set("pos").alias("__removed"))
-    parts = _lines(F.col(text_col))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(names)], F.col(text_col).alias("__text"), _row_key(id_col, text_col).alias("__k"))
+    own = own.join(removed, "__k", "left").withColumn("__lines", F.when(F.col("__removed").isNotNull(), _lines(F.col("__text"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__removed", F.array().cast("array<int>")))
-    out = docs.withColumn("__k", _row_key(id_col, text_col)).join(removed, "__k", "left").withColumn("__lines", F.when(F.col("__removed").isNotNull(), parts))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)
-    return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n.cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed")
+    text = F.when(F.col("__removed").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
+    n = F.when(F.col("__text").isNull(), 0).otherwise(F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("\n"), F.lit(""))) + 1)
+    return own.select(
+        *[(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)], n.cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed")
     )

@@ -6,15 +6,19 @@ number does. A group sorts its candidates once per dimension. For each query it
 all lists at once, from the end where the query's weight makes values largest, scores rows
 at their first sight in any list, and keeps the best k. No unseen row can score more than the
 sum of the values at the current depth; when the kth result exceeds that bound the walk
-stops. Depths double from round to round. The groups' best k of each query are ranked
+stops. A round goes down those lists that lower the bound most, the first so deep that about a twentieth of the rows can come
+into sight. Where a round meets more than a quarter of the group's rows (many dimensions that all matter alike: the bound cannot
+stop the walk before nearly all rows are seen), one product scores the group; the walk then goes on over known scores, and the
+result is the same. ``walk`` counts the rows that were scored. The groups' best k of each query are ranked
 at the end, ties to the smaller id.
 
 Components are floor(scale * x) of the component as double, and sums are exact: in single precision
 below 2^24, in double below 2^53, else in 64-bit integers.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an
-id, take no part; rows of one id count once, with the smallest of their vectors; vectors of
-fewer dimensions count as padded with zeros; a query never finds its own id; fewer
+id, take no part; rows of one id are rows of their own, as candidates and as queries, and a query never finds its own row;
+components beyond 64-bit integers count as the nearest of those; vectors of
+fewer dimensions count as padded with zeros; fewer
 candidates than k give fewer rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,32 +28,49 @@ from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .shared import materialise
+
 
 def quantised(col: str, scale: float) -> Column:
     return F.transform(col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
 
 
-def threshold_top(q, x, order, ranked, ids, own: int, k: int):
-    """Indices into ``x`` of the k largest x @ q, ties to the smaller of ``ids``, and those products;
-    order: per dimension, the rows by ascending value, ranked: those values."""
+def threshold_top(q, x, order, ranked, ids, own, k: int):
+    """walk() without the count; ``own`` is an id or a mask of rows."""
+    return walk(q, x, order, ranked, ids, ids == own if isinstance(own, int) else own, k)[:2]
+
+
+def walk(q, x, order, ranked, ids, own, k: int):
+    """Indices into ``x`` of the k largest x @ q without the rows of the mask ``own``, ties to the smaller of ``ids``, those
+    products, and how many rows were scored; order: per dimension, the rows by ascending value, ranked: those values."""
     import numpy as np
 
-    n = len(x)
-    up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-    seen = ids == own
+    n, scored = len(x), 0
+    dims = np.flatnonzero(q)
+    rising, weight = q[dims] > 0, q[dims]
+    seen = own.copy()
     best, score, every = np.empty(0, dtype=np.int64), np.empty(0, dtype=x.dtype), None
-    depth, step = 0, max(8, k // 4, n // 64)
-    while depth < n and len(up) + len(down):
-        upto = min(n, depth + step)
+    depth, step = np.zeros(len(dims), dtype=np.int64), max(1, n // (20 * max(1, len(dims))))
+
+    def products(at):
+        """What each dimension adds to a score at these depths of the lists."""
+        return weight * ranked[dims, np.where(rising, n - 1 - at, at)]
+
+    while len(dims) and depth.max() < n:
+        here = products(depth)
+        gain = here - products(np.minimum(depth + step, n - 1))
         fresh = np.zeros(n, dtype=bool)
-        fresh[order[up, n - upto : n - depth]] = True
-        fresh[order[down, depth:upto]] = True
-        bound = q[up] @ ranked[up, n - upto] + q[down] @ ranked[down, upto - 1]
+        for d in np.flatnonzero(2 * gain >= gain.max()):  # the lists that lower the bound most
+            upto = min(n, depth[d] + step)
+            fresh[order[dims[d], n - upto : n - depth[d]] if rising[d] else order[dims[d], depth[d] : upto]] = True
+            depth[d] = upto
+        bound = products(np.minimum(depth, n - 1)).sum()
         fresh &= ~seen
         new = np.flatnonzero(fresh)
         seen |= fresh
         if every is None and 4 * len(new) > n:
-            every = x @ q  # one pass over the block costs less than so many look-ups
+            every, scored = x @ q, n
+        scored += len(new) if every is None else 0
         best, score = np.concatenate([best, new]), np.concatenate([score, x[new] @ q if every is None else every[new]])
         if len(best) > k:
             least = np.partition(score, len(score) - k)[len(score) - k]
@@ -57,12 +78,12 @@ def threshold_top(q, x, order, ranked, ids, own: int, k: int):
             keep = np.lexsort((ids[best], -score))[:k]
             best, score = best[keep], score[keep]
         if len(best) == k and score.min() > bound:
-            return best, score
-        depth, step = upto, 2 * step
+            return best, score, scored
+        step = 1 + step * 5 // 4
     rest = np.flatnonzero(~seen)  # only for a query of zeros: every score is 0
     best, score = np.concatenate([best, rest]), np.concatenate([score, x[rest] @ q])
     keep = np.lexsort((ids[best], -score))[:k]
-    return best[keep], score[keep]
+    return best[keep], score[keep], max(scored, len(rest))
 
 
 def _search(k: int):
@@ -70,7 +91,7 @@ def _search(k: int):
         import numpy as np
         import pyarrow as pa
 
-        ids, is_query = np.asarray(table["vec_id"]), np.asarray(table["is_query"])
+        ids, is_query, row_ids = (np.asarray(table[c]) for c in ("vec_id", "is_query", "rid"))
         vectors = table["v"].combine_chunks()
         flat, size = np.asarray(vectors.flatten()), np.asarray(vectors.value_lengths()).astype(np.int64)
         m = np.zeros((len(ids), int(size.max(initial=0))), dtype=np.int64)
@@ -80,16 +101,16 @@ def _search(k: int):
         most = largest * largest * m.shape[1]
         if most < 2**53:
             m = m.astype(np.float32 if most < 2**24 else np.float64)
-        x, names, queries, own = m[~is_query], ids[~is_query], m[is_query], ids[is_query]
+        x, names, rids, queries = m[~is_query], ids[~is_query], row_ids[~is_query], m[is_query]
         out = []
         if len(x):
             order = np.argsort(x.T, axis=1, kind="stable")
             ranked = np.take_along_axis(x.T, order, axis=1)
-            for q, who in zip(queries, own):
-                best, score = threshold_top(q, x, order, ranked, names, who, k)
-                out.append((np.full(len(best), who), names[best], score.astype(np.int64)))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 3
-        return pa.table([pa.array(c) for c in cols], names=["query_id", "vec_id", "score"])
+            for q, who, rid in zip(queries, ids[is_query], row_ids[is_query]):
+                best, score, _ = walk(q, x, order, ranked, names, rids == rid, k)
+                out.append((np.full(len(best), rid), np.full(len(best), who), names[best], score.astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, dtype=np.int64)] * 4
+        return pa.table([pa.array(c) for c in cols], names=["rid", "query_id", "vec_id", "score"])
 
     return run
 
@@ -97,16 +118,17 @@ def _search(k: int):
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, block: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row that ``is_query`` holds for, its k best others."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    rows = vectors.withColumn("__query", is_query).where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("vec_id")).agg(F.min(quantised(vector_col, scale)).alias("v"), F.max("__query").alias("is_query"))
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("vec_id"), quantised(vector_col, scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = materialise(rows, "vectors")  # a row keeps its number from here on
     n, nq = rows.agg(F.count("*"), F.count_if("is_query")).first()
     blocks, query_blocks = max(1, ceil(n / block)), max(1, ceil(nq / block))
 
     def dealt(df: DataFrame, own: str, mine: int, other: str, others: int, flag: bool) -> DataFrame:
-        at = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(own)), F.lit(mine)).cast("int")
-        return df.select("vec_id", "v", F.lit(flag).alias("is_query"), at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).select("vec_id", "v", "is_query", "cb", "qb")
+        at = F.pmod(F.xxhash64(F.col("rid"), F.lit(own)), F.lit(mine)).cast("int")
+        return df.select("rid", "vec_id", "v", F.lit(flag).alias("is_query"), at.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other)).select("rid", "vec_id", "v", "is_query", "cb", "qb")
 
     both = dealt(rows, "cb", blocks, "qb", query_blocks, False).unionByName(dealt(rows.where("is_query"), "qb", query_blocks, "cb", blocks, True))
-    found = both.groupBy("cb", "qb").applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = both.groupBy("cb", "qb").applyInArrow(_search(k), "rid long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -128,7 +128,7 @@ def test_decontamination_edges(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontam.report(docs(spark, [(1, "a")]).limit(0), bench).count() == 0
     r = decontam.report(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c")]), bench).collect()
-    assert sorted((x["doc_id"] or 0, x["n_items"]) for x in r) == [(0, 1), (1, 1)]
+    assert sorted((x["doc_id"] or 0, x["n_items"]) for x in r) == [(0, 1), (1, 1), (1, 1)]  # one for each row
     assert decontam.report(docs(spark, [(1, "a b c")]), bench.limit(0)).first()["n_hit"] == 0
 
 
@@ -423,6 +423,26 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("opening, closing", [("<|{role}|>", "<|end|>\n"), ("### {role}: ", "\n"), ("[{role}] ", "[/.*+?]"), ("\n{role}>>", "\\E$"), ("{role}:", ";;"), ("b{role}l", "g1"), ("<{role}> <", "</end>"), ("<end{role}|", "d|>")])
+def test_any_template_round_trips(spark, opening, closing):
+    template = chat.Template(opening=opening, closing=closing)
+    rnd, bits = random.Random(opening), ["\\", "\\b", "b", "l", "g", "<", ">", "|", "\n", ":", ";", "[", "a\n### assistant: b", opening.format(role="assistant"), closing, closing[:-1], closing[1:], "user", " "]
+    rows = [(c, t, rnd.choice(["user", "assistant", "".join(rnd.choices(bits, k=2))]), "".join(rnd.choices(bits, k=rnd.randrange(6)))) for c in range(40) for t in range(rnd.randrange(1, 5))]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    digests = {r["conv_id"]: r for r in chat.digest(made, template).collect()}
+    for r in made.select("conv_id", "formatted", chat.read_back(F.col("formatted"), template).alias("turns")).collect():
+        want = [(x[2], x[3]) for x in rows if x[0] == r["conv_id"]]
+        assert [(t["role"], t["text"]) for t in r["turns"]] == want and r["formatted"].count(closing) >= len(want)
+        loss = "".join(t for role, t in want if role == "assistant")
+        assert digests[r["conv_id"]]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("opening, closing", [("<{role}>", ""), ("{role}", "x"), ("no role: ", "x"), ("\n{role}: ", "\n"), ("<{role}/end>", "</end>")])
+def test_ambiguous_templates_are_refused(opening, closing):
+    with pytest.raises(ValueError):
+        chat.Template(opening=opening, closing=closing)
+
+
 # --- 6: language
 
 
@@ -662,6 +682,9 @@ def test_lines_against_brute_force(spark):
                 assert (r["n_lines"], r["n_removed"]) == (len(lines), sum(gone))
                 assert r["text"] == (None if t is None else "\n".join(x for x, g in zip(lines, gone) if not g))
     assert line_dedup.remove_boilerplate(df.limit(0)).count() == 0
+    clash = df.withColumns({c: F.lit(7) for c in ("n_lines", "n_removed", "__k", "__removed", "__lines", "line")})
+    for a, b in zip(line_dedup.remove_boilerplate(clash).orderBy("doc_id").collect(), line_dedup.remove_boilerplate(df).orderBy("doc_id").collect()):
+        assert all(a[c] == b[c] for c in b.asDict()) and a["__k"] == a["__removed"] == a["line"] == 7
 
 
 # --- 9: top k
@@ -671,19 +694,19 @@ def test_topk_against_brute_force(spark):
     rnd = np.random.default_rng(4)
     rows = [(i, (rnd.normal(size=6) / 3).round(1).tolist(), 1) for i in range(300)]
     rows += [(400, None, 1), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (402, [float("nan")] * 6, 1), (403, [float("inf")] * 6, 1), (None, [1.0] * 6, 1), (420, [0.0] * 6, 1), (440, [0.5, 0.5], 1), rows[7], (460, [], 1)]
+    rows.append((20, rows[20][1], 1))  # rows of one id are rows of their own
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, v int")
-    vec = {}
-    for i, e, _ in rows:
-        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
-            vec[i] = [math.floor(64 * float(np.float32(x))) for x in e] + [0] * (6 - len(e))
+    vec = [(i, [math.floor(64 * float(np.float32(x))) for x in e] + [0] * (6 - len(e))) for i, e, _ in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     for block in (4096, 20):
-        got = collections.defaultdict(list)
-        for r in topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, block=block).orderBy("rank").collect():
-            got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-        assert set(got) == {i for i in vec if i % 20 == 0}
-        for q in got:
-            want = sorted((-sum(a * b for a, b in zip(vec[q], v)), i) for i, v in vec.items() if i != q)[:20]
-            assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]
+        got = sorted(tuple(r) for r in topk.top_k(df.withColumn("__query", F.lit(1)).withColumn("rid", F.lit(2)), F.col("vec_id") % 20 == 0, k=20, block=block).collect())
+        want = []
+        for k, (q, w) in enumerate(vec):
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(w, v)), i) for j, (i, v) in enumerate(vec) if j != k)[:20]
+                want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+        assert got == sorted(want)
+    big = spark.createDataFrame([(20, [1e30, 1.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(big, F.col("vec_id") == 20).collect()] == [(20, 1, 1, 64 * 64)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -702,6 +725,21 @@ def test_topk_stops_early():
     assert list(best) == [999, 998, 997, 996, 995] and sum(seen) < 100
 
 
+def test_topk_scores_few_rows_of_clustered_vectors():
+    """The bound ends the walk: with a few dimensions that matter, a small share of the rows is scored."""
+    rnd = np.random.default_rng(2)
+    centres = rnd.normal(size=(40, 8)) * np.array([900, 600, 300, 3, 2, 2, 1, 1])
+    x = np.floor(centres[rnd.integers(40, size=8000)] + rnd.normal(size=(8000, 8)) * np.array([30, 20, 10, 1, 1, 1, 1, 1]))
+    order, ids, shares = np.argsort(x.T, axis=1, kind="stable"), np.arange(8000), []
+    ranked = np.take_along_axis(x.T, order, 1)
+    for k in range(0, 8000, 400):
+        best, score, scored = topk.walk(x[k], x, order, ranked, ids, ids == k, 20)
+        want = sorted((-v, i) for i, v in enumerate(x @ x[k]) if i != k)[:20]
+        assert [(-s, i) for s, i in zip(score, best)] == want
+        shares.append(scored / 8000)
+    assert np.mean(shares) < 0.5 and min(shares) < 0.1
+
+
 # --- 10: packing
 
 
