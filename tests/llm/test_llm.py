@@ -5,6 +5,7 @@ import hashlib
 import html
 import itertools
 import math
+import os
 import random
 import re
 import struct
@@ -83,6 +84,25 @@ def test_lm_against_brute_force(spark):
         assert got[i]["score"] == pytest.approx(sum(math.log10(p(a, x)) for a, x in zip([b" s", *w[:-1]], w)))
 
 
+def test_lm_spreads_hot_words(spark):
+    """One left word in half of all pairs: no shard holds more than a few times its share, and scores stay the same."""
+    rnd = random.Random(6)
+    rows = docs(spark, [(i, " ".join(f"the x{rnd.randrange(10**6)}" for _ in range(300))) for i in range(60)]).repartition(4)
+    model = ngram_lm.train(rows)
+    where = model.path.removeprefix("file://")
+    sizes = [len(ngram_lm.map_arrays(f"{where}/{f}")["pairs"]) for f in os.listdir(where) if f.startswith("pairs-")]
+    assert sum(sizes) == model.bigrams and max(sizes) < 3 * sum(sizes) / (1 << model.bits) and len(model.hot) == 2
+    got = sorted(tuple(r) for r in ngram_lm.score(rows, model, "doc_id").collect())
+    hot = ngram_lm.hot_words
+    try:
+        ngram_lm.hot_words = lambda *_: np.zeros(0, dtype=np.uint64)
+        plain = ngram_lm.train(rows)
+    finally:
+        ngram_lm.hot_words = hot
+    want = sorted(tuple(r) for r in ngram_lm.score(rows, plain, "doc_id").collect())
+    np.testing.assert_allclose(np.array(got), np.array(want), rtol=1e-12)
+
+
 def test_lm_edges(spark):
     assert ngram_lm.score_held_out(docs(spark, [(1, "a")]).limit(0)).count() == 0
     only = ngram_lm.score(docs(spark, [(1, "a b"), (None, "a")]), ngram_lm.train(docs(spark, [(1, "a")]).limit(0)), "doc_id").collect()
