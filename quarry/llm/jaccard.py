@@ -1,7 +1,9 @@
 """All links between texts whose shingle sets have an exact Jaccard similarity of a threshold or more.
 
 Prefix filter: sets of n shingles that are that similar share at least t * n of them, so both hold a common one
-among their n - ceil(t * n) + 1 smallest hashes. Every distinct set is listed under those; lists with two or more sets are
+among their n - ceil(t * n) + 1 first hashes, in whatever order that is the same for all sets. Here frequent hashes come last
+(those in cells of a count table that stand out, counted over the texts of every ``EVERY``-th hash; results do not depend on it),
+so that a passage which many texts share makes no list. Every distinct set is listed under those; lists with two or more sets are
 cut into tiles, and each pair of tiles is one group. A pair in a list stays a candidate if its sizes, and
 the parities of its hashes in 512 bins, allow the threshold (their differing bits are never more than the sets' differing
 shingles). Candidate pairs are then held against parities in as many bins as the sets are large, which 512 bins of a large
@@ -18,7 +20,9 @@ from .shared import materialise
 
 BINS = 512
 TILE_BYTES = 16 << 20
-SMALL, DENSE = 16, 4
+SMALL, DENSE = 16, 16
+EVERY, CELL_BITS, CHUNKS = 8, 22, 1024
+BROADCAST_ROWS = 500_000  # of 32 bytes
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int):
@@ -82,14 +86,57 @@ def allowed(jaccard: float, sizes):
     return (1 - jaccard) / (1 + jaccard) * sizes + 1e-6
 
 
+def cell(hashes):
+    import numpy as np
+
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def frequent_cells(docs: DataFrame, shingle: int, seed: int, text_col: str):
+    """The cells, sorted, whose counts of hashes stand out: above the median by six times its root and two."""
+    import numpy as np
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, cell(np.unique(shingle_hashes(t.as_py(), shingle, seed))), 1)
+        if counts.any():
+            parts = np.minimum(counts, 65535).astype("<u2").reshape(CHUNKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+
+    def merge(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:  # a task has some chunks; their sums are all it holds
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(x.as_py(), "<u2").astype(np.int64)
+        for k, x in sums.items():
+            typical = np.median(x)
+            found = np.flatnonzero(x > typical + 6 * np.sqrt(typical) + 2) + k * len(x)
+            yield pa.RecordBatch.from_arrays([pa.array([found.astype(np.int32).tobytes()], pa.binary())], names=["cells"])
+
+    some = docs.select(F.col(text_col).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(EVERY)) == 0)
+    rows = some.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(merge, "cells binary").collect()
+    return np.sort(np.concatenate([np.frombuffer(r[0], np.int32) for r in rows] or [np.zeros(0, np.int32)]))
+
+
 def described(docs: DataFrame, shingle: int, jaccard: float, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, fp, sid, n, sketch, prefix) of every row: fingerprint, identity and size of the set, parities,
-    smallest hashes."""
+    first hashes."""
+    frequent = frequent_cells(docs, shingle, seed, text_col)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        last = np.zeros(1 << CELL_BITS, dtype=bool)
+        last[frequent] = True
         for b in batches:
             fps, sids, sizes, sketches, prefixes = [], [], [], [], []
             for t in b.column(2):
@@ -99,7 +146,8 @@ def described(docs: DataFrame, shingle: int, jaccard: float, seed: int, id_col:
                 sids.append(set_id(found))
                 sizes.append(len(found))
                 sketches.append(parities(found, bins_for(len(found))).tobytes())
-                prefixes.append(found[: prefix_length(len(found), jaccard)].view(np.int64))
+                late = last[cell(found)]
+                prefixes.append(np.concatenate([found[~late], found[late]])[: prefix_length(len(found), jaccard)].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "fp", "sid", "n", "sketch", "prefix"],
@@ -327,7 +375,8 @@ def labelled(docs: DataFrame, shingle: int, jaccard: float, tile: int, seed: int
     tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") * 8 / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
     sizes = chosen.groupBy("key").agg(tiles.alias("tiles"))
     texts = docs.select(F.col(id_col).cast("long").alias("first"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = texts.join(chosen.select("first", "text_hash", "sid", "key"), ["first", "text_hash"])
+    wanted = chosen.select("first", "text_hash", "sid", "key")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["first", "text_hash"])
     edges = _edges(_sets(texts.select("key", "sid", "text"), shingle, seed), sizes, _similar(jaccard)).select("u", "v")
 
     roots = components(edges).select(F.col("v").alias("sid"), "root")
