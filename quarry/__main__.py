@@ -23,7 +23,7 @@ def main(args: list[str]) -> None:
     if args[:1] == ["build"] and len(args) == 3:
         build_store(spark, args[1], args[2], cfg, HttpGenerator(cfg.generator))
     elif args[:1] == ["search"] and len(args) > 2:
-        chunks = with_dense_index(Store(spark, args[1]).read().drop("pos"), "source", "page", "id")
+        chunks = with_dense_index(Store(spark, args[1]).load().drop("pos"), "source", "page", "id")
         queries = spark.createDataFrame([(i, q) for i, q in enumerate(args[2:])], "query_id long, query string")
         asked = embed_column(enrich_queries(queries, HttpGenerator(cfg.generator)), "query", "embedded_query", cfg.dimension)
         s = Searcher(chunks, cfg)

@@ -31,6 +31,7 @@ def build_store(spark: SparkSession, folder: str, store_path: str, cfg: EngineCo
     rows, failures = build_chunks(pages(fragments(files, extract)), cfg, generator, load)
     store = Store(spark, store_path)
     store.upsert(rows, seen)
+    store.write_metadata(getattr(load, "__name__", "embedder"))
     if log_path:
         append_log(failures, log_path)
     return store

@@ -203,6 +203,41 @@ def test_build_search_and_rebuild(spark, tmp_path):
         output(q, "chart")
 
 
+def test_store_commits(spark, tmp_path):
+    """Sources keep their spelling, an upsert without rows deletes, a died writer changes nothing, of two writers both count."""
+    from quarry.schema import STORE
+
+    def rows(*keys):
+        return spark.createDataFrame([(i, "c", "t", s, 1, [], [], [], None, None, 0, "data", [1.0]) for i, s in keys], STORE)
+
+    seen = lambda *s: spark.createDataFrame([(x,) for x in s], "source string")
+    ids = lambda st: sorted((r["id"], r["source"]) for r in st.read().collect())
+    st = store.Store(spark, str(tmp_path / "s"))
+    assert st.read().count() == 0
+    st.upsert(rows(("a", "007"), ("b", "7"), ("c", "2020-01-02")), seen("007", "7", "2020-01-02"))
+    st.upsert(rows(("d", "7")), seen("7"))
+    assert ids(st) == [("a", "007"), ("c", "2020-01-02"), ("d", "7")]
+    (tmp_path / "s" / "commits" / f"{3:012d}").write_text("layer-that-never-came")  # its writer died
+    assert len(ids(st)) == 3
+    st._next = lambda: 4
+    st.upsert(rows(), seen("007"))
+    del st._next
+    assert ids(st) == [("c", "2020-01-02"), ("d", "7")]
+    number, layers = st.current()
+    other = st._layer(rows(("e", "8")), seen("8"))  # another writer takes the next number between reading and committing
+    assert st._commit(number + 1, [*layers, other]) and not st._commit(number + 1, layers)
+    for k in range(store.MAX_LAYERS):
+        st.upsert(rows((f"z{k}", "9")), seen("9"))
+    assert ids(st) == [("c", "2020-01-02"), ("d", "7"), ("e", "8"), (f"z{k}", "9")] and len(st.current()[1]) < store.MAX_LAYERS
+    st.write_metadata("v")
+    assert spark.read.json(f"{tmp_path}/s/metadata").first()["chunks"] == 4 and st.load().count() == 4
+    with pytest.raises(ValueError):
+        st.upsert(rows(("q", "5")).withColumn("embedding", F.lit(None).cast("array<float>")), seen("5"))
+        st.load()
+    store.export_json(st.read(), str(tmp_path / "out"))
+    assert {r["id"] for r in store.load_json(spark, str(tmp_path / "out")).collect()} == {"c", "d", "e", f"z{k}", "q"}
+
+
 def test_json_store(spark, tmp_path):
     (tmp_path / "data.json").write_text('[{"id":"a","page":"3","text":"t","source":"s","context":"c","years":null,"x":{"y":1}},{"id":"b","page":4,"years":[2020]}]', encoding="utf-8")
     rows = {r["id"]: r for r in store.load_json(spark, str(tmp_path / "data.json")).collect()}
