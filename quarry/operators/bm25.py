@@ -6,6 +6,8 @@ mean over the vocabulary (taken before the change, so possibly negative). Every
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LexicalConfig
@@ -16,27 +18,45 @@ EPSILON = 0.25
 
 
 class Bm25Index:
-    """postings (field, term, pos, tf, dl), terms (field, term, idf), corpus (field, n, avgdl)."""
+    """Tables of an index, each made when first asked for: corpus (field, n, avgdl), postings (field, term, pos, tf, dl), terms
+    (field, term, df, idf). Only postings and raw term figures are written; lengths come with the scan that counts them."""
+
+    def __init__(self, chunks: DataFrame, fields: dict[str, Column], keep=materialise):
+        chunks = spread(chunks, "pos")
+        per = chunks.select("pos", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()])).alias("f"))
+        self._per = per.select("pos", "f.field", "f.tokens", F.size("f.tokens").alias("dl"))
+        self._keep = keep
+
+    @cached_property
+    def corpus(self) -> DataFrame:
+        return self._keep(self._per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "bm25-corpus")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        words = self._per.select("field", "pos", "dl", F.explode("tokens").alias("term"))
+        return self._keep(words.groupBy("field", "pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "postings")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        df = self.postings.groupBy("field", "term").agg(F.count("*").alias("df"))
+        raw = df.join(F.broadcast(self.corpus), "field").select("field", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        raw = self._keep(raw, "terms")
+        mean = raw.groupBy("field").agg(F.avg("raw").alias("mean"))  # a row per field
+        return raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+    @cached_property
+    def n(self) -> int:
+        return (self.corpus.agg(F.max("n")).first() or [None])[0] or 0
 
-    def __init__(self, postings: DataFrame, terms: DataFrame, corpus: DataFrame, n: int):
-        self.postings, self.terms, self.corpus, self.n = postings, terms, corpus, n
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        """(field, vocabulary): distinct terms by field, without an index of them."""
+        return self._per.select("field", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("field").agg(F.count("*").alias("vocabulary"))
 
 
 def build(chunks: DataFrame, fields: dict[str, Column], keep=materialise) -> Bm25Index:
     """chunks: pos and whatever ``fields`` (name -> token array) reads. Empty texts count as documents."""
-    chunks = spread(chunks, "pos")
-    per = chunks.select("pos", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), tokens.alias("tokens")) for name, tokens in fields.items()])).alias("f"))
-    per = keep(per.select("pos", "f.field", "f.tokens", F.size("f.tokens").alias("dl")), "field-tokens")
-    corpus = keep(per.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), "bm25-corpus")
-    postings = per.select("field", "pos", "dl", F.explode("tokens").alias("term")).groupBy("field", "term", "pos").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings = keep(postings, "postings")
-    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(corpus), "field").select("field", "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    raw = keep(raw, "terms")
-    mean = raw.groupBy("field").agg(F.avg("raw").alias("mean"))  # a row per field
-    terms = raw.join(F.broadcast(mean), "field").select("field", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    n = chunks.count()
-    return Bm25Index(postings, terms, corpus, n)
+    return Bm25Index(chunks, fields, keep)
 
 
 def scores(index: Bm25Index, terms: DataFrame, cfg: LexicalConfig = LexicalConfig()) -> DataFrame:

@@ -49,14 +49,15 @@ def metadata_recall(chunks: DataFrame, queries: DataFrame, k: int, block: int =
 
 
 def merge(semantic: DataFrame, lexical: DataFrame, recall: DataFrame) -> DataFrame:
-    """(query_id, pos, semantic_raw, lexical_raw, origin, origin_rank): the union by chunk, scores that are missing 0."""
+    """(query_id, pos, semantic_raw, lexical_raw, in_lexical, origin, origin_rank): the union by chunk, scores that are missing 0;
+    in_lexical is 1 for chunks of the lexical list."""
     def side(df: DataFrame, origin: int, sem, lex) -> DataFrame:
         return df.select("query_id", "pos", sem.alias("semantic_raw"), lex.alias("lexical_raw"), F.struct(F.lit(origin).alias("origin"), F.col("rank").cast("int").alias("origin_rank")).alias("o"))
 
     none = F.lit(None).cast("double")
     rows = side(semantic, 0, F.col("score"), none).unionByName(side(lexical, 1, none, F.col("score"))).unionByName(side(recall, 2, none, none))
-    got = rows.groupBy("query_id", "pos").agg(F.coalesce(F.max("semantic_raw"), F.lit(0.0)).alias("semantic_raw"), F.coalesce(F.max("lexical_raw"), F.lit(0.0)).alias("lexical_raw"), F.min("o").alias("o"))
-    return got.select("query_id", "pos", "semantic_raw", "lexical_raw", "o.origin", "o.origin_rank")
+    got = rows.groupBy("query_id", "pos").agg(F.coalesce(F.max("semantic_raw"), F.lit(0.0)).alias("semantic_raw"), F.coalesce(F.max("lexical_raw"), F.lit(0.0)).alias("lexical_raw"), F.min("o").alias("o"), F.count("lexical_raw").alias("in_lexical"))
+    return got.select("query_id", "pos", "semantic_raw", "lexical_raw", "in_lexical", "o.origin", "o.origin_rank")
 
 
 def with_metadata(candidates: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -90,9 +91,14 @@ def final_top_k(candidates: DataFrame, k: int) -> DataFrame:
     return best(candidates, k, ["query_id"], F.desc("hybrid_score"), F.col("origin"), F.col("origin_rank"))
 
 
-def debug_counts(candidates: DataFrame, k: int) -> DataFrame:
-    """A row per query: candidates by origin, and how many are returned."""
+def debug_counts(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """A row per query: lengths of the semantic and the lexical list and of their union with the metadata recall, that union again
+    if the query has metrics (else 0), what each later list added, and how many are returned."""
     n = lambda o: F.count_if(F.col("origin") == o)
-    return candidates.groupBy("query_id").agg(
-        n(0).alias("semantic"), n(1).alias("lexical_added"), n(2).alias("metadata_added"), F.count("*").alias("candidates"), F.least(F.count("*"), F.lit(k)).alias("returned")
+    got = candidates.groupBy("query_id").agg(
+        n(0).alias("semantic_count"), F.sum("in_lexical").alias("lexical_count"), F.count("*").alias("merged_count"), n(1).alias("lexical_added"), n(2).alias("metadata_added")
     )
+    all_of = queries.select("query_id", (F.size(F.coalesce("metrics", F.array())) > 0).alias("seeds")).join(got, "query_id", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in got.columns if c != "query_id"]
+    merged = F.coalesce("merged_count", F.lit(0).cast("long"))
+    return all_of.select("query_id", *counts, F.when(F.col("seeds"), merged).otherwise(0).alias("metadata_seed_count"), F.least(merged, F.lit(k)).alias("returned"))

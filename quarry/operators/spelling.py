@@ -23,39 +23,36 @@ def deletions(word: Column, n: int = DISTANCE) -> Column:
     return out
 
 
-def edits(a: str, b: str) -> int:
-    """Optimal string alignment distance."""
-    before, last, now = [], list(range(len(b) + 1)), []
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        before, last = last, now
-    return last[-1]
+def swaps(word: Column) -> Column:
+    """The word with each pair of neighbours swapped."""
+    at = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word)))
+    return F.when(F.length(word) > 1, F.transform(F.sequence(F.lit(1), F.length(word) - 1), at)).otherwise(F.array().cast("array<string>"))
 
 
-def corrections(words: DataFrame, dictionary: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
-    """words (word), dictionary (word, freq) -> (word, correction); ties go to the alphabetically first."""
-    import pandas as pd
+def edits(a: Column, b: Column) -> Column:
+    """How many edits (insert, delete, replace, swap neighbours), made one after another, turn a into b: 0, 1 or 2, null if more.
+    A swap costs two plain edits, so only pairs within four of those are looked at closer."""
+    plain = F.levenshtein(a, b, 2 * DISTANCE)
+    near = lambda x, y: F.levenshtein(x, y, 1) >= 0
+    through = F.exists(swaps(a), lambda s: near(s, b)) | F.exists(swaps(b), lambda s: near(a, s)) | F.arrays_overlap(swaps(a), swaps(b))
+    return F.when(plain < 0, None).when(plain < 2, plain).when(plain == 2, F.when(F.array_contains(swaps(a), b), 1).otherwise(2)).when(through, 2)
 
-    def pairwise(a, b):
-        return pd.Series([edits(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    pairwise.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    distance = F.pandas_udf(pairwise, "int")
+def corrections(words: DataFrame, dictionary: DataFrame, custom: tuple[str, ...] = ()) -> DataFrame:
+    """words (word), dictionary (word, freq) -> (word, correction); ties go to the alphabetically first. ``custom`` words count as
+    words seen once more: they stay as they are and may be corrections."""
     asked = words.select("word").where("word is not null").distinct()
     known = dictionary.select("word", "freq")
-    lost = asked.where(~F.col("word").isin(*custom)) if custom else asked
-    lost = materialise(lost.join(known, "word", "left_anti"), "misspelt")
+    if custom:
+        more = dictionary.sparkSession.createDataFrame([(w, 1) for w in dict.fromkeys(custom)], "word string, freq long")
+        known = known.unionByName(more).groupBy("word").agg(F.sum("freq").alias("freq"))
+    lost = materialise(asked.join(known, "word", "left_anti"), "misspelt")
     size = F.length("word")
     sizes = lost.select(F.explode(F.sequence(size - DISTANCE, size + DISTANCE)).alias("size")).distinct()
     close = materialise(known.join(F.broadcast(sizes), size == F.col("size"), "left_semi"), "candidates")  # others are further away
     keys = lambda df: df.select("*", F.explode(deletions(F.col("word"))).alias("key"))
     pairs = keys(lost).join(keys(close).select(F.col("word").alias("candidate"), "freq", "key"), "key").select("word", "candidate", "freq").distinct()
-    near = pairs.withColumn("d", distance("word", "candidate")).where(F.col("d") <= DISTANCE)
+    near = pairs.withColumn("d", edits(F.col("word"), F.col("candidate"))).where("d is not null")
     found = best(near, 1, ["word"], F.asc("d"), F.desc("freq"), F.asc("candidate")).select("word", "candidate")
     return asked.join(found, "word", "left").select("word", F.coalesce("candidate", "word").alias("correction"))
 

@@ -21,6 +21,7 @@ from ..providers import RuleGenerator
 from ..session import materialise
 from ..sources import pages as page_source, store
 from .build import build_chunks
+from .catalog_sql import AS_CYRILLIC, LATIN
 from .search import Searcher
 
 CFG = EngineConfig(profile="unicode")
@@ -82,6 +83,11 @@ def normalize_tokens(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", text.normalise(F.col("text"), PROFILE).alias("tokens"))
 
 
+def normalize_tokens_cyrillic(spark, sf):
+    """The Cyrillic profile, over the texts with Latin letters replaced: letters without a counterpart fall out."""
+    return _read(spark, sf, "documents").select("doc_id", text.normalise(F.translate("text", LATIN, AS_CYRILLIC), "cyrillic").alias("tokens"))
+
+
 def normalize_chunk_ids(spark, sf):
     odd = F.concat(F.lit("  ID: id:  src "), F.col("source"), F.lit("  \t page "), F.col("doc_id").cast("string"), F.lit(" "))
     return _read(spark, sf, "documents").select("doc_id", text.normalise_id(odd).alias("normal"))
@@ -148,8 +154,7 @@ def bm25_idf(spark, sf):
 
 def bm25_corpus(spark, sf):
     ix = _index(chunks(spark, sf))
-    terms = ix.terms.groupBy("field").agg(F.count("*").alias("vocabulary"))
-    return ix.corpus.join(terms, "field").select("field", "n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
+    return ix.corpus.join(ix.vocabulary, "field", "left").select("field", "n", F.round("avgdl", 6).alias("avgdl"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"))
 
 
 def bm25_topk(spark, sf):
@@ -232,7 +237,7 @@ def build_knowledge_base(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        page_chunks, chunk_ids, normalize_tokens, normalize_chunk_ids, chunk_classify, chunk_class_counts, context_post_process, validate_records, validate_all, normalize_fields, json_extract_props,
+        page_chunks, chunk_ids, normalize_tokens, normalize_tokens_cyrillic, normalize_chunk_ids, chunk_classify, chunk_class_counts, context_post_process, validate_records, validate_all, normalize_fields, json_extract_props,
         json_balanced, l2_normalize, semantic_topk, bm25_idf, bm25_corpus, bm25_topk, metadata_scores, metadata_recall, hybrid_candidates, hybrid_topk, hybrid_debug_counts, search_summary, upsert_by_source,
         store_integrity, spell_correct, llm_enrich, llm_enrich_queries, build_knowledge_base,
     )

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from ..values import CONTEXT_TAGS, GEO_LABEL, METRICS_LABEL, SKIP_KEYWORDS, SKIP_PATTERNS, TOKENS, YEARS_LABEL
+from ..values import CONTEXT_TAGS, GEO_LABEL, METRICS_LABEL, NO_TEXT, SKIP_KEYWORDS, SKIP_PATTERNS, TOKENS, YEARS_LABEL
 
 
-def _tokens(x: str) -> str:
-    found = rf"regexp_extract_all(lower(coalesce({x}, '')), '{TOKENS['unicode']}')"
+# A test text in Cyrillic letters, as the tables hold none.
+LATIN, AS_CYRILLIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдеёжзіийклмнопрстуўхцчАБВГДЕЁЖЗІИЙКЛМНОПРСТУЎХЦЧ"
+
+
+def _tokens(x: str, profile: str = "unicode") -> str:
+    found = rf"regexp_extract_all(lower(coalesce({x}, '')), '{TOKENS[profile]}')"
     return rf"list_concat(list_filter({found}, lambda t: NOT regexp_full_match(t, '\d+')), list_filter({found}, lambda t: regexp_full_match(t, '\d+')))"
 
 
@@ -77,13 +81,14 @@ _CLASSIFY_TEXT = "CASE doc_id % 7 WHEN 0 THEN 'Содержание: ' || text W
 _PATTERNS = " OR ".join(f"regexp_matches(substr(text, 1, 200), '(?i){p}')" for p in SKIP_PATTERNS)
 _KEYWORDS = ", ".join(f"'{k}'" for k in SKIP_KEYWORDS)
 _STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_TYPE = rf"""CASE WHEN page <= 5 THEN 'metadata' WHEN {_STRIP.format('text')} = '' THEN 'skip' WHEN {_PATTERNS} THEN 'metadata'
+       WHEN len(list_intersect(list_slice(regexp_split_to_array(lower({_STRIP.format('text')}), '\s+'), 1, 5), [{_KEYWORDS}])) > 0 THEN 'metadata'
+       WHEN len(ls) > 1 AND regexp_matches(ls[1], '[\x{{0400}}-\x{{04FF}}]') AND regexp_matches({_STRIP.format('ls[2]')}, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$') AND regexp_matches(ls[2], '[A-Z]')
+            AND len(regexp_split_to_array({_STRIP.format('ls[2]')}, '\s+')) <= 5 THEN 'metadata' ELSE 'data' END"""
 CLASSIFY = rf"""
 t AS (SELECT doc_id, CAST(doc_id % 40 AS INTEGER) AS page, {_CLASSIFY_TEXT} AS text FROM documents),
 l AS (SELECT *, string_split(substr(text, 1, 200), chr(10)) AS ls FROM t),
-k AS (SELECT doc_id, page, CASE WHEN page <= 5 THEN 'metadata' WHEN {_STRIP.format('text')} = '' THEN 'skip' WHEN {_PATTERNS} THEN 'metadata'
-       WHEN len(list_intersect(list_slice(regexp_split_to_array(lower({_STRIP.format('text')}), '\s+'), 1, 5), [{_KEYWORDS}])) > 0 THEN 'metadata'
-       WHEN len(ls) > 1 AND regexp_matches(ls[1], '[\x{{0400}}-\x{{04FF}}]') AND regexp_matches({_STRIP.format('ls[2]')}, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$') AND regexp_matches(ls[2], '[A-Z]')
-            AND len(regexp_split_to_array({_STRIP.format('ls[2]')}, '\s+')) <= 5 THEN 'metadata' ELSE 'data' END AS chunk_type FROM l)
+k AS (SELECT doc_id, page, {_TYPE} AS chunk_type FROM l)
 """
 
 _TAGS = "concat_ws(', ', " + ", ".join(f"CASE WHEN {' OR '.join(f'contains(base, {chr(39)}{x}{chr(39)})' for x in CONTEXT_TAGS[t])} THEN '{t}' END" for t in sorted(CONTEXT_TAGS)) + ")"
@@ -96,6 +101,39 @@ p3 AS (SELECT *, CASE WHEN tags = '' THEN ctx WHEN ctx <> '' THEN ctx || ' | ' |
 SELECT doc_id, substr({_STRIP.format("replace(CASE WHEN c1 <> '' THEN c1 || ' | ' || suffix ELSE suffix END, chr(10), ' ')")}, 1, 256) AS context, CASE WHEN len(mt) > 0 THEN array_to_string(mt, '|') END AS metrics FROM p3
 """
 
+# Distances are over bytes, so the accented letters of the tables become capitals (words are lower-case).
+_BYTES = "translate({0}, 'äçèéêíñóößü', 'ABCDEFGHIJK')"
+SPELLING = f"""
+w AS (SELECT word, count(*) AS freq, {_BYTES.format('word')} AS b FROM (SELECT unnest({_tokens('text')}) AS word FROM documents) GROUP BY word),
+a AS (SELECT DISTINCT substr(t, 1, 1) || substr(t, 3) AS word FROM (SELECT unnest({_tokens('text')}) AS t FROM benchmark)),
+lost AS (SELECT word, {_BYTES.format('word')} AS b FROM a WHERE word NOT IN (SELECT word FROM w)),
+near AS (SELECT lost.word, w.word AS candidate, freq, damerau_levenshtein(lost.b, w.b) AS d FROM lost JOIN w ON abs(length(lost.b) - length(w.b)) <= 2 WHERE d <= 2),
+fixed AS (SELECT word, arg_min(candidate, (d, -freq, candidate)) AS candidate FROM near GROUP BY word)
+"""
+
+# What the rule generator answers for a text of a data page, and what becomes of it.
+_LETTERS = r"regexp_extract_all({0}, '\p{{L}}{{4,}}')"
+_FIRST = "list_slice(list_transform(list_filter(list_zip({0}, range(len({0}))), lambda x: list_position({0}, x[1]) = x[2] + 1), lambda x: x[1]), 1, 5)"
+_YEARS = r"list_sort(list_distinct(list_transform(regexp_extract_all({0}, '\b(?:19|20)\d\d\b'), lambda y: CAST(y AS INTEGER))))"
+ENRICH = rf"""
+t AS (SELECT doc_id, pos, id, CAST(page AS INTEGER) AS page, text FROM c),
+l AS (SELECT *, string_split(substr(text, 1, 200), chr(10)) AS ls FROM t),
+k AS (SELECT doc_id, pos, id, text, substr(text, 1, 800) AS body, {_TYPE} AS chunk_type FROM l),
+e AS (SELECT *, {_LETTERS.format('body')} AS words, {_YEARS.format('body')} AS ys, {_STRIP.format('body')} AS s FROM k),
+g AS (SELECT *, regexp_extract(s, '(?s)^(.*?[.!?])\s', 1) AS sentence FROM e),
+p AS (SELECT doc_id, pos, id, chunk_type, text, CASE WHEN chunk_type = 'data' THEN substr(CASE WHEN sentence <> '' THEN sentence ELSE s END, 1, 256) WHEN coalesce(text, '') = '' THEN '{NO_TEXT}' ELSE substr(text, 1, 200) END AS ctx,
+             CASE WHEN chunk_type = 'data' THEN list_filter(list_transform({_FIRST.format('words')}, lambda x: lower(x)), lambda x: length(x) < 20) END AS mt,
+             CASE WHEN chunk_type = 'data' AND len(ys) > 0 THEN ys END AS years FROM g),
+p1 AS (SELECT *, lower(ctx || ' ' || coalesce(text, '')) AS base FROM p),
+p2 AS (SELECT *, {_TAGS} AS tags FROM p1),
+p3 AS (SELECT *, CASE WHEN tags = '' THEN ctx ELSE ctx || ' | ' || tags END AS c1,
+        concat_ws('; ', CASE WHEN len(mt) > 0 THEN '{METRICS_LABEL}' || array_to_string(mt, ', ') END,
+                  CASE WHEN len(years) > 0 THEN '{YEARS_LABEL}' || CASE WHEN len(years) > 1 THEN list_min(years) || '-' || list_max(years) ELSE CAST(years[1] AS VARCHAR) END END) AS suffix FROM p2),
+done AS (SELECT *, substr({_STRIP.format("replace(CASE WHEN suffix <> '' THEN c1 || ' | ' || suffix ELSE c1 END, chr(10), ' ')")}, 1, 256) AS context FROM p3)
+"""
+
+_CYRILLIC_TEXT = f"translate(text, '{LATIN}', '{AS_CYRILLIC}')"
+
 ORACLES = {
     "page_chunks": rf"""
 WITH fr AS (SELECT source, doc_id, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id END AS page, text FROM documents),
@@ -121,8 +159,16 @@ SELECT source, page, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS n_c
     "metadata_recall": _with(CHUNKS, META) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(total, 6) AS metadata_score FROM rec",
     "hybrid_candidates": HYBRID + "SELECT query_id, pos, o[1] AS origin, round(semantic_raw, 6) AS semantic_raw, round(lexical_raw, 6) AS lexical_raw, round(semantic_score, 6) AS semantic_score, round(lexical_score, 6) AS lexical_score, round(metadata_score, 6) AS metadata_score, round(hybrid_score, 6) AS hybrid_score FROM cand",
     "hybrid_topk": HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS rank, pos, round(hybrid_score, 6) AS hybrid_score FROM top",
-    "hybrid_debug_counts": HYBRID + "SELECT query_id, count(*) FILTER (o[1] = 0) AS semantic, count(*) FILTER (o[1] = 1) AS lexical_added, count(*) FILTER (o[1] = 2) AS metadata_added, count(*) AS candidates, least(count(*), 5) AS returned FROM cand GROUP BY query_id",
+    "hybrid_debug_counts": HYBRID
+    + "SELECT q.query_id, (SELECT count(*) FROM sem WHERE sem.query_id = q.query_id) AS semantic_count, (SELECT count(*) FROM lex WHERE lex.query_id = q.query_id) AS lexical_count, count(cand.pos) AS merged_count, "
+    "count(*) FILTER (o[1] = 1) AS lexical_added, count(*) FILTER (o[1] = 2) AS metadata_added, CASE WHEN any_value(len(q.metrics)) > 0 THEN count(cand.pos) ELSE 0 END AS metadata_seed_count, least(count(cand.pos), 5) AS returned "
+    "FROM q LEFT JOIN cand USING (query_id) GROUP BY q.query_id",
     "search_summary": HYBRID + "SELECT query_id, CAST(rank AS INTEGER) AS rank, c.id, round(hybrid_score, 4) AS score, concat_ws('; ', 'geo: ' || array_to_string(c.geo, ', '), CASE WHEN len(c.metrics) > 0 THEN 'metrics: ' || array_to_string(c.metrics, ', ') END, 'years: ' || array_to_string(c.years, ', '), 'granularity: ' || c.tg, 'oked: ' || c.oked) AS metadata FROM top JOIN c USING (pos) WHERE rank <= 3",
     "upsert_by_source": "SELECT doc_id, source, CAST(length(text) AS INTEGER) AS n FROM documents WHERE source IS NULL OR source NOT IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, source, CAST(length(text) + 1 AS INTEGER) FROM documents WHERE source IN ('src1', 'src3')",
     "store_integrity": _with(CHUNKS) + "SELECT count(*) AS chunks, count(v) AS vectors, count(*) FILTER (trim(coalesce(context, '')) = '' AND v IS NULL) AS blank, count(*) = count(v) + count(*) FILTER (trim(coalesce(context, '')) = '' AND v IS NULL) AS ok FROM c",
+    "normalize_tokens_cyrillic": f"SELECT doc_id, array_to_string({_tokens(_CYRILLIC_TEXT, 'cyrillic')}, ' ') AS tokens FROM documents",
+    "spell_correct": _with(SPELLING) + "SELECT a.word, coalesce(candidate, a.word) AS correction FROM a LEFT JOIN fixed USING (word)",
+    "llm_enrich": _with(CHUNKS, ENRICH) + "SELECT doc_id, chunk_type, context, CASE WHEN len(mt) > 0 THEN array_to_string(mt, '|') END AS metrics, array_to_string(years, '|') AS years, CASE WHEN len(years) > 0 THEN 'year' END AS time_granularity FROM done",
+    "llm_enrich_queries": f"SELECT item_id AS query_id, array_to_string({_FIRST.format(_LETTERS.format('text'))}, '|') AS metrics, CASE WHEN len({_YEARS.format('text')}) > 0 THEN 'year' END AS time_granularity FROM benchmark",
+    "build_knowledge_base": _with(CHUNKS, ENRICH) + "SELECT pos, id, chunk_type, context, 1.0::DOUBLE AS norm2 FROM done",
 }

@@ -21,7 +21,7 @@ class SearchResult:
 
 
 class Searcher:
-    """chunks: the store's columns with pos 0..n-1. Token arrays and the three indexes are made once."""
+    """chunks: the store's columns with pos 0..n-1. The three indexes are made once, at the first search."""
 
     def __init__(self, chunks: DataFrame, cfg: EngineConfig = EngineConfig(), lemmas=None):
         self.cfg, self.lemmas = cfg, lemmas
@@ -40,7 +40,7 @@ class Searcher:
         recall = fusion.metadata_recall(self.meta, asked, r.recall_top_k)
         merged = fusion.with_metadata(fusion.merge(semantic, lexical, recall), self.meta, asked)
         candidates = materialise(fusion.fuse(fusion.normalise(merged), r), "candidates")
-        return SearchResult(candidates, fusion.final_top_k(candidates, r.final_top_k), fusion.debug_counts(candidates, r.final_top_k))
+        return SearchResult(candidates, fusion.final_top_k(candidates, r.final_top_k), fusion.debug_counts(candidates, asked, r.final_top_k))
 
     def with_chunks(self, top: DataFrame) -> DataFrame:
         """The few chosen rows meet the wide chunk columns last."""
