@@ -28,11 +28,11 @@ QUERY_SYSTEM = (
 TEXT_CHARS, LOG_CHARS = 800, 1200
 
 
-def ask(df: DataFrame, key: str, prompt, gate, generator: Generator, cfg: EnrichConfig, system: str, usable) -> DataFrame:
-    """(key, raw, attempts, failed): one row per row that ``gate`` holds for. An answer that ``usable`` (a plain predicate
-    on text) rejects, or an error, is tried again."""
-    rows = df.where(gate).select(F.col(key).alias("key"), prompt.alias("prompt"))
-    retries, sleep, reset_every = cfg.max_retries, cfg.retry_sleep_s, cfg.reset_interval
+ANSWER = "key string, raw string, error string"
+
+
+def _call(generator: Generator, system: str, reset_every: int, wait: float):
+    """Rows (key, prompt) to ANSWER; an error becomes the name of its class."""
 
     def run(batches):
         import time
@@ -43,52 +43,47 @@ def ask(df: DataFrame, key: str, prompt, gate, generator: Generator, cfg: Enrich
         for b in batches:
             out = []
             for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw, error, n, good = None, None, 0, False
-                while n < retries and not good:
-                    n += 1
-                    if n > 1:
-                        time.sleep(sleep)
-                    try:
-                        raw, error = generator.generate(system, p), None
-                        good = usable(raw)
-                    except Exception as e:
-                        error = type(e).__name__
-                if error is None:
+                time.sleep(wait)
+                try:
+                    out.append((k, generator.generate(system, p), None))
                     done += 1
                     if reset_every and done % reset_every == 0:
                         generator.reset()
-                out.append((k, raw, n, None if good else error or "parse_failed"))
+                except Exception as e:
+                    out.append((k, None, type(e).__name__))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int32(), pa.string()))], names=["key", "raw", "attempts", "error"])
-
-    return materialise(rows.select(F.col("key").cast("string").alias("key"), "prompt").mapInArrow(run, "key string, raw string, attempts int, error string"), "answers")
-
-
-def holds_object(raw: str | None) -> bool:
-    """A cheap check in the worker that an answer holds a non-empty JSON object."""
-    import json
-
-    text = (raw or "").strip()
-    if text.startswith("```"):
-        text = text.split("\n", 1)[-1].removesuffix("```").strip()
-    try:
-        v = json.loads(text)
-        return isinstance(v, dict) and bool(v)
-    except ValueError:
-        pass
-    depth, start = 0, None
-    for i, c in enumerate(text):
-        if c == "{":
-            start = i if start is None else start
-            depth += 1
-        elif c == "}" and start is not None:
-            depth -= 1
-            if not depth:
-                try:
-                    return bool(json.loads(text[start : i + 1]))
-                except ValueError:
-                    return False
-    return False
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.string()) for c in zip(*out)], names=["key", "raw", "error"])
+
+    return run
+
+
+def ask(df: DataFrame, key: str, prompt, gate, generator: Generator, cfg: EnrichConfig, system: str, usable) -> DataFrame:
+    """(key, raw, attempts, error): one row per row that ``gate`` holds for. Rows whose answer fails or is not ``usable`` (an
+    expression on it) are asked again as a smaller table, so each try is written before the next and none is repeated."""
+    rows = df.where(gate).select(F.col(key).cast("string").alias("key"), prompt.alias("prompt"))
+    settled, left = [], rows
+    for n in range(1, cfg.max_retries + 1):
+        run = _call(generator, system, cfg.reset_interval, cfg.retry_sleep_s if n > 1 else 0)
+        good = F.col("error").isNull() & F.coalesce(usable(F.col("raw")), F.lit(False))
+        got = materialise(left.mapInArrow(run, ANSWER).select("key", "raw", F.lit(n).alias("attempts"), F.when(~good, F.coalesce("error", F.lit("parse_failed"))).alias("error")), "answers")
+        bad = F.col("error").isNotNull()
+        if n == cfg.max_retries or got.where(bad).isEmpty():
+            settled.append(got)
+            break
+        settled.append(got.where(~bad))
+        left = rows.join(got.where(bad).select("key").distinct(), "key", "left_semi")
+    if not settled:
+        return rows.select("key", F.lit(None).cast("string").alias("raw"), F.lit(0).alias("attempts"), F.lit("not_asked").alias("error"))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def usable_answer(raw):
+    """An answer with a JSON object that has keys."""
+    v = js.parse_answer(raw)
+    return v.isNotNull() & (F.to_json(v) != "{}")
 
 
 def ingest_prompt():
@@ -99,7 +94,7 @@ def enrich(chunks: DataFrame, generator: Generator, cfg: EnrichConfig = EnrichCo
     """chunks (id, text, source, page, ...) with context and metadata, and the failures as log records."""
     typed = classify(chunks, cfg.skip_first_pages)
     is_data = F.col("chunk_type") == "data"
-    answers = ask(typed, "id", ingest_prompt(), is_data, generator, cfg, SYSTEM, holds_object)
+    answers = ask(typed, "id", ingest_prompt(), is_data, generator, cfg, SYSTEM, usable_answer)
     joined = typed.join(answers.select(F.col("key").alias("id"), "raw", "attempts", "error"), "id", "left")
     v, ok = F.col("v"), F.col("error").isNull() & F.col("v").isNotNull()
     parsed = joined.withColumn("v", F.when(is_data, js.parse_answer(F.col("raw"))))
@@ -126,7 +121,7 @@ def enrich_queries(queries: DataFrame, generator: Generator, cfg: EnrichConfig =
     """queries (query_id, query) with geo, metrics, years, time_granularity, oked, raw_response. A bad answer leaves them empty; errors of
     the model's transport are not caught for good: the answer stays null."""
     prompt = F.concat(F.lit("Question: \n\n"), F.col("query"))
-    answers = ask(queries, "query_id", prompt, F.lit(True), generator, cfg, QUERY_SYSTEM, lambda raw: True)
+    answers = ask(queries, "query_id", prompt, F.lit(True), generator, cfg, QUERY_SYSTEM, lambda raw: F.lit(True))
     v = F.col("v")
     got = queries.join(answers.select(F.col("key").cast("long").alias("query_id"), F.col("raw").alias("raw_response")), "query_id", "left").withColumn("v", js.parse_query_answer(F.col("raw_response")))
     empty = F.array().cast("array<string>")

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from quarry.config import EngineConfig, EnrichConfig
 from quarry.operators import bm25, fusion, index
-from quarry.operators.enrich import enrich, enrich_queries, holds_object
+from quarry.operators.enrich import enrich, enrich_queries, usable_answer
 from quarry.operators.output import output
 from quarry.operators.semantic import semantic_top_k
-from quarry.operators.spelling import corrections, correct_queries, edits
+from quarry.operators.spelling import corrections, correct_queries, edits as edits_of
 from quarry.plans.build import build_store
 from quarry.plans.search import Searcher
 from quarry.providers import RuleGenerator
@@ -114,6 +114,28 @@ def test_upsert(spark):
     assert sorted(store.upsert(once, mk([("a", 5)]), seen).collect()) == sorted(once.collect())
 
 
+def edits(a, b):
+    """Fewest edits one after another (insert, delete, replace, swap neighbours); all words one edit away, twice; 3 stands for more."""
+    letters = sorted(set(a + b))
+
+    def step(w):
+        cut = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        return {x + y[1:] for x, y in cut if y} | {x + y[1] + y[0] + y[2:] for x, y in cut if len(y) > 1} | {x + c + y[1:] for x, y in cut if y for c in letters} | {x + c + y for x, y in cut for c in letters}
+
+    if a == b:
+        return 0
+    one = step(a)
+    return 1 if b in one else 2 if abs(len(a) - len(b)) <= 2 and any(b in step(w) for w in one) else 3
+
+
+def test_edits(spark):
+    rnd = random.Random(5)
+    pairs = [("ca", "abc"), ("abcd", "badc"), ("abc", "cab"), ("", "ab"), ("a", ""), ("abcd", "dcba"), ("минск", "минкс")]
+    pairs += [("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6))), "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6)))) for _ in range(400)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string").select("i", edits_of(F.col("a"), F.col("b")).alias("d")).orderBy("i").collect()
+    assert [3 if r["d"] is None else r["d"] for r in got] == [edits(a, b) for a, b in pairs]
+
+
 def test_spell_correct_query_uses_every_word(spark, tmp_path):
     """Rare, short and long words are asked and offered: what all pairs of words say."""
     from quarry.plans.catalog import spell_correct
@@ -125,18 +147,19 @@ def test_spell_correct_query_uses_every_word(spark, tmp_path):
     freq = {w: " ".join(texts).split().count(w) for w in " ".join(texts).split()}
     want = {}
     for w in {x[:1] + x[2:] for x in " ".join(asked).split()}:
-        near = sorted((edits(w, c), -n, c) for c, n in freq.items() if edits(w, c) <= 2)
+        near = sorted((d, -n, c) for c, n in freq.items() if abs(len(c) - len(w)) <= 2 and (d := edits(w, c)) <= 2)
         want[w] = w if w in freq or not near else near[0][2]
     assert {r["word"]: r["correction"] for r in spell_correct(spark, str(tmp_path)).collect()} == want
     assert want["mnagement"] == "management" and want["iternationalisation"] == "internationalisation"
 
 
 def test_spelling(spark):
-    assert edits("минск", "минкс") == 1 and edits("кот", "кит") == 1 and edits("a", "abc") == 2
     d = spark.createDataFrame([("минск", 9), ("минус", 5), ("население", 3)], "word string, freq long")
     w = spark.createDataFrame([("минкс",), ("насиление",), ("минус",), ("zzzzzz",), ("свой",)], "word string")
     got = {r["word"]: r["correction"] for r in corrections(w, d, custom=("свой",)).collect()}
     assert got == {"минкс": "минск", "насиление": "население", "минус": "минус", "zzzzzz": "zzzzzz", "свой": "свой"}
+    asked = spark.createDataFrame([("бгэу",), ("бгээу",)], "word string")
+    assert {r["word"]: r["correction"] for r in corrections(asked, d, custom=("бгэу",)).collect()} == {"бгэу": "бгэу", "бгээу": "бгэу"}
     q = spark.createDataFrame([(1, "  насиление  минкс "), (2, ""), (3, None)], "query_id long, query string")
     assert {r["query_id"]: r["query"] for r in correct_queries(q, d).collect()} == {1: "население минск", 2: "", 3: ""}
 
@@ -172,8 +195,40 @@ def test_enrich(spark):
     assert enrich_queries(q, Fixed('{"years":["2020"],"geo":["x"]}')).first()["years"] == [2020]
 
 
-def test_holds_object():
-    assert holds_object('```json\n{"a":1}\n```') and holds_object('x {"a":1}') and not holds_object("{}") and not holds_object("[1]") and not holds_object(None)
+def test_usable_answer(spark):
+    raws = ['```json\n{"a":1}\n```', 'x {"a":1}', '{"a":"}"}', "{}", "[1]", None, '{"a":', "x {} y", "no"]
+    got = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").select("i", F.coalesce(usable_answer(F.col("raw")), F.lit(False)).alias("u")).orderBy("i").collect()
+    assert [r["u"] for r in got] == [True, True, True, False, False, False, False, False, False]
+
+
+class Flaky:
+    """Fails at the first question for some chunks, as the prompt says, then answers."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, system, prompt):
+        import hashlib
+        import os
+
+        mark = os.path.join(self.folder, hashlib.md5(prompt.encode()).hexdigest())
+        first = not os.path.exists(mark)
+        open(mark, "a").write("x")
+        if first and "raise" in prompt:
+            raise RuntimeError
+        return "cut {" if first and "cut" in prompt else '{"context": "fine"}'
+
+    def reset(self):
+        return True
+
+
+def test_only_failed_rows_are_asked_again(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), t, "s", 9) for i, t in enumerate(["ok one", "please raise", "a cut", "ok two"])], "id string, text string, source string, page int")
+    out, bad = enrich(rows, Flaky(str(tmp_path)), EnrichConfig(retry_sleep_s=0, max_retries=3))
+    assert [r["context"].split(" |")[0] for r in out.orderBy("id").collect()] == ["fine"] * 4 and bad.count() == 0
+    assert sorted(p.stat().st_size for p in tmp_path.iterdir()) == [1, 1, 2, 2]
+    empty, bad = enrich(rows.limit(0), Flaky(str(tmp_path)))
+    assert empty.count() == 0 and bad.count() == 0
 
 
 def test_build_search_and_rebuild(spark, tmp_path):
@@ -203,6 +258,30 @@ def test_build_search_and_rebuild(spark, tmp_path):
         output(q, "chart")
 
 
+def test_engine_asks_and_talks(spark, tmp_path):
+    from quarry.__main__ import talk
+    from quarry.plans.engine import Engine
+
+    docs = tmp_path / "in"
+    docs.mkdir()
+    (docs / "a.txt").write_text("\f".join(["front"] * 5 + ["молоко производство 2020", "население минск 2021"]), encoding="utf-8")
+    engine = Engine(spark, str(tmp_path / "store"), EngineConfig(dimension=32, custom_words=("бгэу",)))
+    engine.build(str(docs), form_feed_pages, "*.txt")
+    rows = spark.createDataFrame([(1, " насиление   минкс "), (2, "бгэу молоко")], "query_id long, query string")
+    asked = {r["query_id"]: r for r in engine.prepare(rows).collect()}
+    assert asked[1]["query"] == "население минск" and asked[2]["query"] == "бгэу молоко" and "население" in asked[1]["metrics"] and len(asked[1]["embedded_query"]) == 32
+    found = engine.search(rows)
+    counts = {r["query_id"]: r for r in found.counts.collect()}[1]
+    assert counts["semantic_count"] == 7 and counts["lexical_count"] == 7 and counts["merged_count"] == 7 == counts["metadata_seed_count"] and counts["returned"] == 5
+    assert engine.answer("насиление минкс").orderBy("rank").first()["text"] == "население минск 2021"
+    said = []
+    talk(engine, ["\n", "молоко\n"], said.append)
+    assert said[0].startswith("1. a.txt, page 6, ") and sum(x[0] in "123" for x in said) == 3
+    for blank in (" ", None):
+        with pytest.raises(ValueError):
+            engine.prepare(spark.createDataFrame([(1, blank)], "query_id long, query string"))
+
+
 def test_store_commits(spark, tmp_path):
     """Sources keep their spelling, an upsert without rows deletes, a died writer changes nothing, of two writers both count."""
     from quarry.schema import STORE
