@@ -153,8 +153,7 @@ def bm25_idf(spark, sf):
 
 
 def bm25_corpus(spark, sf):
-    ix = _index(chunks(spark, sf))
-    return ix.corpus.join(ix.vocabulary, "field", "left").select("field", "n", F.round("avgdl", 6).alias("avgdl"), F.coalesce("vocabulary", F.lit(0)).alias("vocabulary"))
+    return _index(chunks(spark, sf)).figures().select("field", "n", F.round("avgdl", 6).alias("avgdl"), "vocabulary")
 
 
 def bm25_topk(spark, sf):
@@ -211,8 +210,9 @@ def store_integrity(spark, sf):
 
 def spell_correct(spark, sf):
     """Each distinct word of the questions without its second letter, against the words of the documents."""
-    words = _read(spark, sf, "documents").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
-    asked = _read(spark, sf, "benchmark").select(F.explode(text.tokens(F.col("text"), PROFILE)).alias("w")).select(F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)")).alias("word")).distinct()
+    words = _read(spark, sf, "documents").select(F.explode(text.bag(F.col("text"), PROFILE)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    words = materialise(words, "dictionary")  # a dictionary is a table
+    asked = _read(spark, sf, "benchmark").select(F.explode(text.bag(F.col("text"), PROFILE)).alias("w")).select(F.concat(F.substring("w", 1, 1), F.expr("substring(w, 3)")).alias("word")).distinct()
     return corrections(asked, words)
 
 
