@@ -73,6 +73,15 @@ def test_bm25_all_zero_takes_first(spark):
     assert {r["score"] for r in bm25.top_k(ix, empty, terms(spark, {1: "a"}), 2).collect()} == {0.0}
 
 
+def test_bm25_empty(spark):
+    asked = terms(spark, {1: "a"})
+    for docs, want, figures in (([], [], []), ([""], [(1, 0, 0.0, 1)], [("text", 1, 0, 0.0)])):
+        df = spark.createDataFrame(list(enumerate(docs)), "pos long, t string").withColumn("w", F.filter(F.split("t", " "), lambda x: x != ""))
+        ix = bm25.build(df, {"text": F.col("w")})
+        assert [tuple(r) for r in bm25.top_k(ix, df, asked, 3).collect()] == want and bm25.top_k(ix, df, asked.limit(0), 3).collect() == []
+        assert [tuple(r) for r in ix.figures().select("field", "n", "vocabulary", "avgdl").collect()] == figures
+
+
 @pytest.mark.parametrize("broadcast", [100, 3])
 def test_semantic_both_ways(spark, broadcast):
     import numpy as np
