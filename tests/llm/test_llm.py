@@ -760,6 +760,52 @@ def test_topk_scores_few_rows_of_clustered_vectors():
     assert np.mean(shares) < 0.5 and min(shares) < 0.1
 
 
+def best_of(x, ids, queries, k):
+    for q in queries:
+        scores = x @ x[q]
+        yield sorted((-int(v), int(ids[i])) for i, v in enumerate(scores) if i != q)[:k]
+
+
+@pytest.mark.parametrize("scale", [1, 10**3, 10**6])  # single precision, double, 64-bit integers
+def test_topk_bounds_choose_the_way(monkeypatch, scale):
+    """Noise is scored by products without a walk; far clusters are skipped or walked; all give what brute force gives, also with ties."""
+    rnd, calls, walk = np.random.default_rng(5), [], topk.walk
+    monkeypatch.setattr(topk, "walk", lambda *a: calls.append(1) or walk(*a))
+    noise = np.floor(rnd.normal(size=(3000, 24)) * 8).astype(np.int64)
+    noise[1000:1300] = noise[60]  # copies
+    far = rnd.normal(size=(40, 8))[rnd.integers(40, size=3000)] * np.array([900, 600, 300, 3, 2, 2, 1, 1]) + rnd.normal(size=(3000, 8)) * 10
+    far[:, :1] += np.where(np.arange(3000)[:, None] < 500, 3000, 0)  # the rows seen first lie ahead
+    for x, bounded in ((noise, False), (np.floor(far).astype(np.int64), True)):
+        x = x * (10**5 if bounded and scale == 10**6 else scale)
+        ids, queries = rnd.permutation(3000) // 2, np.arange(0, 3000, 20)
+        search, calls[:] = topk.Search(queries, x[queries], 20), []
+        for a, b in ((0, 7), (7, 500), (500, 3000)):
+            search.add(np.arange(a, b), ids[a:b], x[a:b])
+        got = [sorted((-int(s), int(i)) for s, i in zip(search.score[search.at == j], search.ids[search.at == j])) for j in range(len(queries))]
+        assert got == list(best_of(x, ids, queries, 20))
+        assert search.skipped + search.walked + search.multiplied == 3 * len(queries) and search.walked == len(calls)
+        if scale < 10**6:
+            assert (search.walked > 0, search.skipped > 0) == (bounded, bounded)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_topk_reads_a_candidate_once_for_each_block_of_queries(spark, monkeypatch, parts):
+    """No vector is shuffled against the others: only queries are dealt out, and few tasks score many pairs."""
+    monkeypatch.setattr(topk, "MOST", 1000 if parts > 1 else topk.MOST)
+    rnd = np.random.default_rng(6)
+    x = np.floor(rnd.normal(size=(9000, 16)) * 8)
+    df = spark.createDataFrame([(i, (r / 64).tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    out = topk.top_k(df, F.col("vec_id") % 20 == 0, k=20, block=512)
+    got = collections.defaultdict(list)
+    for r in out.collect():
+        got[r["query_id"]].append((r["rank"], -r["score"], r["vec_id"]))
+    assert len(got) == 450
+    for q, want in zip(range(0, 9000, 20), best_of(x, np.arange(9000), range(0, 9000, 20), 20)):
+        assert sorted(got[q]) == [(n, s, i) for n, (s, i) in enumerate(want, 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" not in plan and "Union" not in plan
+
+
 # --- 10: packing
 
 
