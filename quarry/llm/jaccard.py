@@ -1,14 +1,16 @@
 """All links between texts whose shingle sets have an exact Jaccard similarity of a threshold or more.
 
-Prefix filter: sets of n shingles that are that similar share at least t * n of them, so both hold a common one
+SimHash comes first: sets whose fingerprints are chained by pairs within some bits are compared whole, and those that are similar
+form groups. Fingerprints tell angles, and similar sets may differ in more bits, so the links between different groups are completed by a
+prefix filter: sets of n shingles that are that similar share at least t * n of them, so both hold a common one
 among their n - ceil(t * n) + 1 first hashes, in whatever order that is the same for all sets. Here frequent hashes come last
 (those in cells of a count table that stand out, counted over the texts of every ``EVERY``-th hash; results do not depend on it),
-so that a passage which many texts share makes no list. Every distinct set is listed under those; lists with two or more sets are
-cut into tiles, and each pair of tiles is one group. A pair in a list stays a candidate if its sizes, and
+so that a passage which many texts share makes no list. Every distinct set is listed under those; lists with sets of two or more groups are
+cut into tiles, and each pair of tiles is one group of rows. A pair of sets of different groups in a list stays a candidate if its sizes, and
 the parities of its hashes in 512 bins, allow the threshold (their differing bits are never more than the sets' differing
 shingles). Candidate pairs are then held against parities in as many bins as the sets are large, which 512 bins of a large
-set no longer tell. All these tests lose no pair. A group with more than ``DENSE`` candidates a member (many near copies)
-yields star edges of its candidates' components instead of pairs. Every similar pair is then inside one component of what is
+set no longer tell. All these tests lose no pair. A list with more than ``DENSE`` candidates a member (many near copies)
+yields star edges of its candidates' components instead of pairs. Every similar pair of different groups is then inside one component of what is
 left; the sets of a component, read from the texts again, are compared whole in the same tiled groups.
 """
 
@@ -163,17 +165,18 @@ def text_hash(text_col: str):
 
 
 def _small_sketch(classes: DataFrame) -> DataFrame:
-    """(sid, n, data): the parities folded to ``BINS`` bins."""
+    """(sid, n, data): the group, and the parities folded to ``BINS`` bins."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            data = [folded(np.frombuffer(x, dtype=np.uint64), BINS // 64).tobytes() for x in b.column(2).to_pylist()]
+            groups = np.asarray(b.column(3))
+            data = [g.tobytes() + folded(np.frombuffer(x, dtype=np.uint64), BINS // 64).tobytes() for g, x in zip(groups, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["sid", "n", "data"])
 
-    return classes.select("sid", "n", "sketch").mapInArrow(run, "sid long, n long, data binary")
+    return classes.select("sid", "n", "sketch", "linked").mapInArrow(run, "sid long, n long, data binary")
 
 
 def _sets(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
@@ -247,15 +250,16 @@ def _stars(sid, near):
 
 
 def _candidates(jaccard: float):
-    """Pairs of equal key whose sizes and parities in ``BINS`` bins allow the threshold."""
+    """Pairs of equal key, not in one group, whose sizes and parities in ``BINS`` bins allow the threshold; data: the group and the parities."""
 
     def of(starts, sizes, sid, n, data):
         import numpy as np
 
         bits = np.frombuffer(b"".join(data), dtype=np.uint64).reshape(len(sid), -1)
+        linked, bits = bits[:, 0], bits[:, 1:]
 
         def fits(i, j):
-            out = np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-6
+            out = (np.minimum(n[i], n[j]) >= jaccard * np.maximum(n[i], n[j]) - 1e-6) & (linked[i] != linked[j])
             a, b = np.broadcast_arrays(i, j)
             a, b = a[out], b[out]
             out[out] = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= allowed(jaccard, n[a] + n[b])
@@ -354,30 +358,46 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, jaccard: float) -> DataFram
     return pairs.join(one, "u").join(two, "v").select("u", "v", "nu", "nv", "su", "sv").mapInArrow(run, "u long, v long")
 
 
-def labelled(docs: DataFrame, shingle: int, jaccard: float, tile: int, seed: int, components, id_col: str, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, jaccard: float, tile: int, seed: int, components, id_col: str, text_col: str, name: str) -> DataFrame:
+    """Edges (u, v) whose components are those of the exactly similar pairs inside each component of ``candidates``."""
+    chosen = classes.select("sid", "first", "n").join(components(candidates).select(F.col("v").alias("sid"), F.col("root").alias("key")), "sid")
+    chosen = materialise(chosen.select("sid", F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("text_hash"), "n", "key"), name)
+    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") * 8 / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
+    sizes = chosen.groupBy("key").agg(tiles.alias("tiles"))
+    texts = docs.select(F.col(id_col).cast("long").alias("first"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    wanted = chosen.select("first", "text_hash", "sid", "key")
+    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["first", "text_hash"])
+    return materialise(_edges(_sets(texts.select("key", "sid", "text"), shingle, seed), sizes, _similar(jaccard)).select("u", "v"), f"{name}-links")
+
+
+def _same_print(classes: DataFrame, links, tile: int) -> DataFrame:
+    """Edges (u, v) between sets of equal or near fingerprints; ``links`` finds those between representatives of fingerprints."""
+    prints = materialise(classes.groupBy("fp").agg(F.min("sid").alias("rep")), "prints")
+    equal = classes.join(prints, "fp").where("sid <> rep").select(F.col("rep").alias("u"), F.col("sid").alias("v"))
+    return links(prints, tile=tile).unionByName(equal)
+
+
+def labelled(docs: DataFrame, shingle: int, jaccard: float, tile: int, seed: int, components, links, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, fp, sid, component_id, kept) of every row; kept: the (doc_id, text_hash) of the component's smallest
-    row. ``components`` labels the vertices of edges (u, v)."""
+    row. ``components`` labels the vertices of edges (u, v), ``links`` yields edges between near fingerprints (fp, rep)."""
     rows = materialise(described(docs, shingle, jaccard, seed, id_col, text_col), "sets")
     named = rows.where("doc_id is not null")
     first = F.struct("doc_id", "text_hash")
-    classes = materialise(named.groupBy("sid").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
+    classes = materialise(named.groupBy("sid").agg(F.min(first).alias("first"), F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("sketch").alias("sketch"), F.first("prefix").alias("prefix")), "classes")
+    how = (shingle, jaccard, tile, seed, components, id_col, text_col)
+
+    near = _verified(docs, classes, _same_print(classes, links, tile), *how, "near-prints")
+    groups = materialise(components(near).select(F.col("v").alias("sid"), F.col("root").alias("linked")), "groups")
+    grouped = classes.join(groups, "sid", "left").withColumn("linked", F.coalesce("linked", "sid"))
 
-    keys = classes.select(F.explode("prefix").alias("key"), "sid")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    lists = materialise(keys.join(shared, "key"), "lists")
+    keys = grouped.select(F.explode("prefix").alias("key"), "sid", "linked")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("linked").alias("a"), F.max("linked").alias("b")).where("a <> b").select("key", "members")
+    lists = materialise(keys.select("key", "sid").join(shared, "key"), "lists")
     sizes = lists.groupBy("key").agg(F.ceil(F.max("members") / F.lit(tile)).cast("int").alias("tiles"))
-    listed = lists.select("key", "sid").join(_small_sketch(classes), "sid").select("key", "sid", "n", "data")
+    listed = lists.select("key", "sid").join(_small_sketch(grouped), "sid").select("key", "sid", "n", "data")
     found = materialise(_edges(listed, sizes, _candidates(jaccard)), "candidates")
     candidates = _by_sketch(found.where("not dense"), classes, jaccard).unionByName(found.where("dense").select("u", "v"))
-
-    chosen = classes.select("sid", "first", "n").join(components(candidates).select(F.col("v").alias("sid"), F.col("root").alias("key")), "sid")
-    chosen = materialise(chosen.select("sid", F.col("first.doc_id").alias("first"), F.col("first.text_hash").alias("text_hash"), "n", "key"), "chosen")
-    tiles = F.greatest(F.ceil(F.count("*") / F.lit(tile)), F.ceil(F.sum("n") * 8 / F.lit(TILE_BYTES)), F.lit(1)).cast("int")
-    sizes = chosen.groupBy("key").agg(tiles.alias("tiles"))
-    texts = docs.select(F.col(id_col).cast("long").alias("first"), text_hash(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    wanted = chosen.select("first", "text_hash", "sid", "key")
-    texts = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, ["first", "text_hash"])
-    edges = _edges(_sets(texts.select("key", "sid", "text"), shingle, seed), sizes, _similar(jaccard)).select("u", "v")
+    edges = near.unionByName(_verified(docs, classes, candidates, *how, "chosen"))
 
     roots = components(edges).select(F.col("v").alias("sid"), "root")
     rooted = classes.select("sid", "first").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))

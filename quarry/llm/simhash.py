@@ -11,8 +11,8 @@ pointer jumping, one written table a round; copies share a fingerprint and are o
 
 Few differing bits mean a small angle, not a Jaccard similarity: of pairs at 4 to 7 bits more than
 half can be below 0.8. With ``similarity``, the texts of each component are compared once more, by bits and by
-64-byte MinHash sketches, in the same tiled groups. With ``jaccard``, the links are those of module ``jaccard``
-instead: exact similarities of all pairs, not only of those within some bits.
+64-byte MinHash sketches, in the same tiled groups. With ``jaccard``, each component's shingle sets are compared whole, and
+module ``jaccard`` adds the links between sets of that similarity whose fingerprints differ in more bits.
 
 Defined cases: null text and texts without words have fingerprint zero and link like any
 other; texts of fewer words than a shingle are one shingle; equal rows give equal output
@@ -23,6 +23,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
@@ -243,9 +244,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     """(doc_id, fp, fingerprint, component_id) for every row of ``docs``. With ``similarity``, a link
     also needs an estimated Jaccard similarity of the shingle sets of at least that: any two texts
     within ``distance`` are in one component of the fingerprints, so links are looked for again inside each of these.
-    With ``jaccard``, links are all pairs of texts of at least that exact Jaccard similarity, whatever their bits."""
+    With ``jaccard``, links are all pairs of texts of at least that exact Jaccard similarity, those within ``distance`` first."""
     if jaccard:
-        labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, id_col, text_col)
+        near = partial(links, distance=distance, blocks=blocks, shared=shared)
+        labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, near, id_col, text_col)
         return labels.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     prints = materialise(fingerprints(docs, shingle, id_col, text_col, bool(similarity)), "fingerprints")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
@@ -258,10 +260,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, blocks
     return prints.join(labels, by).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, tile: int = 4096) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, ...) but those near-duplicate to a row of a smaller id. Rows, not ids, are kept:
+def keep_one(docs: DataFrame, jaccard: float = 0.8, shingle: int = 5, tile: int = 4096, distance: int = 6) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) but those near-duplicate to a row of a smaller id: candidates by SimHash, checked
+    exactly, and the similar pairs beyond ``distance`` bits. Rows, not ids, are kept:
     two texts of one id that are not near-duplicates both stay, and of equal rows one does; rows without an id stay all."""
-    labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, "doc_id", "text").where("doc_id is not null")
+    labels = exact.labelled(docs, shingle, jaccard, tile, SEED, components, partial(links, distance=distance), "doc_id", "text").where("doc_id is not null")
     rows = labels.groupBy(F.col("doc_id").alias("__id"), "text_hash").agg(F.count("*").alias("__n"), F.bool_or((F.col("kept.doc_id") != F.col("doc_id")) | (F.col("kept.text_hash") != F.col("text_hash"))).alias("__lost"))
     touched = materialise(rows.where("__lost or __n > 1").withColumnRenamed("text_hash", "__hash"), "duplicates")
     names = docs.columns

@@ -344,6 +344,46 @@ def test_pipeline_decides_near_duplicates_exactly(spark):
     assert {r["doc_id"] for r in cp.near_dedup(spark, docs(spark, rows), "").collect()} == want
 
 
+def test_pipeline_near_duplicates_are_found_by_simhash(spark, monkeypatch):
+    """Without the completion, exactly the similar pairs chained by near fingerprints go, those that are not similar stay."""
+    import corpus_pipeline as cp
+    from quarry.llm import jaccard
+
+    rnd, rows = random.Random(9), []
+    for _ in range(150):
+        base = [f"w{rnd.random()}" for _ in range(rnd.choice([8, 400]))]
+        other = list(base)
+        for _ in range(rnd.randrange(1, 4) if len(base) > 8 else 0):
+            other[rnd.randrange(len(base))] = f"v{rnd.random()}"
+        other = other if len(base) > 8 else [*base, "x"]
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(other))]
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, ("a b c d e " * 60).strip()), (len(rows) + 2, ("a b c d e " * 60).strip() + " f" * 5)]
+    prints, sets = {}, {}
+    for i, t in rows:
+        w = t.split()
+        prints[i], sets[i] = simhash.fingerprint(t, 5), {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    near = {(a, b) for a in sets for b in sets if a < b and ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 6}
+    similar = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(near & similar) > 5 and len(similar - near) > 5 and near - similar
+
+    def kept():
+        return {r["doc_id"] for r in cp.near_dedup(spark, docs(spark, rows), "").collect()}
+
+    def no_pairs(similarity):
+        def of(starts, sizes, sid, n, data):
+            return iter(())
+
+        return of
+
+    assert kept() == set(sets) - {b for _, b in similar}
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "_candidates", no_pairs)
+        assert kept() == set(sets) - {b for _, b in near & similar}
+    found = []
+    monkeypatch.setattr(simhash, "group_links", lambda *a, links=simhash.group_links, **k: found.append(1) or links(*a, **k))
+    assert kept() and found
+
+
 def test_simhash_blocks():
     assert simhash.blocks_for(10**9, 3) == (5, 2) and simhash.blocks_for(10**6, 6) == (8, 2) and simhash.blocks_for(10**8, 6) == (9, 3)
 
